@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import langid, mixing, sharding
 from .common import read_table
 from .simhash import near_duplicate_classes
 
@@ -34,9 +34,30 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix of sources takes of every document."""
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixed.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken")
+    )
+
+
+def op9_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; each of the 24 shards matches the mixture of sources."""
+    dealt = sharding.interleave(read_table(spark, sf_dir, "documents"), shards=24)
+    return dealt.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_source_mixing": op6_source_mixing,
+    "op9_stratified_sharding": op9_stratified_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_source_mixing": mixing.MIX_SQL,
+}
