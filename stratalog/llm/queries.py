@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, sharding
+from . import decontam, langid, mixing, sharding, urlfilter
 from .common import read_table
 from .simhash import near_duplicate_classes
 
@@ -20,6 +20,16 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url by rule, or by the blocked aliases of its component."""
+    return urlfilter.judge(read_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item whose five-word shingles it holds to 80 % or more."""
+    return decontam.contaminated_pairs(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the labelled rows outside the held-out fold."""
     docs = read_table(spark, sf_dir, "documents")
@@ -52,6 +62,8 @@ def op9_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_language_id": op4_language_id,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_source_mixing": op6_source_mixing,
@@ -59,5 +71,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_url_filter": urlfilter.URL_SQL,
+    "op2_benchmark_decontamination": decontam.DECONTAM_SQL,
     "op6_source_mixing": mixing.MIX_SQL,
 }

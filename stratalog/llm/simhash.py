@@ -53,7 +53,7 @@ def shingle_hashes(words: list[bytes], k: int) -> list[int]:
 def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
     if lane == 0:
         return h
-    x = h + np.uint64(lane) * np.uint64(0x9E3779B97F4A7C15)
+    x = h + np.uint64(lane * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
