@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, sharding, urlfilter
+from . import decontam, editembed, langid, linededup, mixing, secrets, sharding, tokens, urlfilter
 from .common import read_table
 from .simhash import near_duplicate_classes
 
@@ -52,6 +52,35 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, encoded as a whole; a crossing token goes where it starts."""
+    counted = tokens.count_tokens(read_table(spark, sf_dir, "documents"), rule="start")
+    return counted.select(
+        F.col("id").alias("doc_id"), "section", "char_start", "char_end", F.col("tokens").cast("long").alias("tokens"), "crossing", "document_tokens"
+    )
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with what their spread over owners says of them."""
+    found = secrets.scan(read_table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] != secrets.OWNED)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *(count(k).alias(f"n_{k}") for k in secrets.KINDS),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["verdict"] == "live")).cast("long").alias("n_live"),
+        F.size(F.filter("spans", lambda s: s["verdict"] == "example")).cast("long").alias("n_example"),
+    )
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that stand on many sites."""
+    return linededup.remove_spread_lines(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document; each of the 24 shards matches the mixture of sources."""
     dealt = sharding.interleave(read_table(spark, sf_dir, "documents"), shards=24)
@@ -61,7 +90,16 @@ def op9_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, and its likeness to an edited copy and to the next document."""
+    return editembed.compare_with_next(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
+    "op3_token_counts": op3_token_counts,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_edit_embedding": op10_edit_embedding,
     "op1_url_filter": op1_url_filter,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_language_id": op4_language_id,
@@ -71,6 +109,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op8_line_dedup": linededup.LINE_SQL,
     "op1_url_filter": urlfilter.URL_SQL,
     "op2_benchmark_decontamination": decontam.DECONTAM_SQL,
     "op6_source_mixing": mixing.MIX_SQL,
