@@ -37,6 +37,15 @@ def bound_arrow_batches(spark: SparkSession, rows: int = 4000, size: str = "48m"
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def fresh_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    name = stem
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

@@ -208,6 +208,9 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
 
 def label_texts(model: LanguageModel, texts: list[str | None]) -> Iterator[tuple[str, float, list[tuple[int, int, str]]]]:
     """For each text: language, score, and spans (first character of the first word, of the next span or the end, language)."""
+    if not model.languages:
+        yield from ((UNDETERMINED, 0.0, []) for _ in texts)
+        return
     at = 0
     while at < len(texts):
         group, size = [], 0
@@ -217,7 +220,7 @@ def label_texts(model: LanguageModel, texts: list[str | None]) -> Iterator[tuple
             size += len(text)
             at += 1
         for (text, start, letters, _), label in zip(group, viterbi([g[3] for g in group], model.switch_penalty), strict=True):
-            if not len(label) or not model.languages:
+            if not len(label):
                 yield UNDETERMINED, 0.0, []
                 continue
             held = np.bincount(label, letters, len(model.languages))

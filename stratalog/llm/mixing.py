@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, word_count
+from .common import checkpointed, fresh_name, word_count
 
 #: Bits of each refinement level; together the 60 bits of the hash.
 LEVELS = (12, 12, 12, 12, 12)
@@ -135,15 +135,15 @@ def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumn("h", uniform_hash(F.col("id"), seed))
     sizes = rows.groupBy("skey").agg(F.sum("size").alias("source_size"))
     plan = take_by_threshold(rows.select("skey", "h", "size"), source_targets(sizes))
-    slim = plan.select(F.col("skey").alias("__mix_key"), F.struct("passes", "cut", "whole").alias("__mix"))
-    h = uniform_hash(docs[id_col], seed)
-    taken = F.coalesce((h < F.col("__mix.cut")) | ((h == F.col("__mix.cut")) & F.col("__mix.whole")), F.lit(False))
-    times = (F.col("__mix.passes") + taken.cast("long")).cast("int")
-    joined = docs.join(_small(slim, slim.count()), source_key(docs[source_col]) == F.col("__mix_key"))
+    key, own, copy = (fresh_name(docs, n) for n in ("mix_key", "mix_plan", "mix_copy"))
+    slim = plan.select(F.col("skey").alias(key), F.struct("passes", "cut", "whole").alias(own))
+    joined = docs.join(_small(slim, slim.count()), source_key(docs[source_col]) == F.col(key))
+    h, plan_of = uniform_hash(F.col(id_col), seed), F.col(own)
+    taken = F.coalesce((h < plan_of["cut"]) | ((h == plan_of["cut"]) & plan_of["whole"]), F.lit(False))
+    times = (plan_of["passes"] + taken.cast("long")).cast("int")
     return (
-        joined.withColumn("__mix_times", times)
-        .where("__mix_times > 0")
-        .withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_times"))))
+        joined.where(times > 0)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), times)))
         .select(*(F.col(f"`{c}`") for c in docs.columns))
     )
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gray
-from .common import bound_arrow_batches, checkpointed, connected_components
+from .common import bound_arrow_batches, checkpointed, connected_components, fresh_name
 
 BUCKET = 2048
 SEED = 42
@@ -298,11 +298,12 @@ def drop_near_duplicates(docs: DataFrame, *, words: int = 5, lanes: int = 4, max
     """
     classes = near_duplicate_classes(docs, words=words, lanes=lanes, max_diff=max_diff, tables=tables, id_col=id_col, text_col=text_col)
     classes = checkpointed(classes.select("id", "component_id"))
-    gone = classes.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__gone_id")).distinct()
-    repeated = classes.where(F.col("id") == F.col("component_id")).groupBy("id").count().where("count > 1").select(F.col("id").alias("__again_id"))
-    kept = docs.join(gone, docs[id_col] == gone["__gone_id"], "left_anti")
+    key = fresh_name(docs, "near_id")
+    gone = classes.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(key)).distinct()
+    repeated = classes.where(F.col("id") == F.col("component_id")).groupBy("id").count().where("count > 1").select(F.col("id").alias(key))
+    kept = docs.join(gone, F.col(id_col) == F.col(key), "left_anti")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, kept[id_col] == repeated["__again_id"], "left_anti")
-    again = kept.join(repeated, kept[id_col] == repeated["__again_id"], "left_semi").dropDuplicates([id_col])
+    once = kept.join(repeated, F.col(id_col) == F.col(key), "left_anti")
+    again = kept.join(repeated, F.col(id_col) == F.col(key), "left_semi").dropDuplicates([id_col])
     return once.unionByName(again)

@@ -105,7 +105,7 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, *,
     if redirects is not None:
         more = redirects.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst"))
         edges = edges.unionByName(more.where("src is not null and dst is not null"))
-    members = connected_components(edges, "src", "dst")
+    members = checkpointed(connected_components(edges, "src", "dst"))
     named = pages.select(
         F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), node_of(F.col(url_col)).alias("node")
     ).withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
@@ -114,7 +114,10 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, *,
             "id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.action").alias("action"), F.coalesce("component", "node").alias("cls")
         )
     )
-    blocked = ruled.where("action = 'block' and cls is not null").select("cls").distinct().withColumn("hit", F.lit(True))
+    # a link may lead to a url that is no page of the table: rules judge it all the same
+    as_url = F.concat(F.lit("x://"), "node")
+    outside = members.where(rule_of(host_of(as_url), path_of(as_url), rules)["action"] == "block").select(F.col("component").alias("cls"))
+    blocked = ruled.where("action = 'block' and cls is not null").select("cls").unionByName(outside).distinct().withColumn("hit", F.lit(True))
     # a url in a class of blocked aliases is rare: only undecided rows are joined
     decided = ruled.where("action is not null").select("id", "host", "path", "rule", F.col("action").alias("verdict"), F.lit("rule").alias("reason"))
     open_ = ruled.where("action is null").join(blocked, "cls", "left")
@@ -152,7 +155,9 @@ both_ways AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
 reach(node, other) AS (
   SELECT DISTINCT node, node FROM j WHERE node IS NOT NULL
   UNION SELECT reach.node, both_ways.dst FROM reach JOIN both_ways ON reach.other = both_ways.src),
-bad AS (SELECT DISTINCT reach.node FROM reach JOIN j ON reach.other = j.node WHERE j.action = 'block')
+target AS (SELECT DISTINCT dst, regexp_extract(dst, '^[^/?]*') AS host, regexp_extract(dst, '^[^/?]*([^?]*)', 1) AS path FROM both_ways),
+judged AS (SELECT dst, arg_max(action, length(rhost || rpath)) AS action FROM target JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY dst),
+bad AS (SELECT reach.node FROM reach JOIN j ON reach.other = j.node WHERE j.action = 'block' UNION SELECT reach.node FROM reach JOIN judged ON reach.other = judged.dst WHERE judged.action = 'block')
 SELECT j.page_id, j.host, j.path, j.rule,
        CASE WHEN action IS NOT NULL THEN action WHEN bad.node IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
        CASE WHEN action IS NOT NULL THEN 'rule' WHEN bad.node IS NOT NULL THEN 'alias' ELSE 'default' END AS reason
