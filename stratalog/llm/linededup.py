@@ -25,7 +25,7 @@ LG_K = 12
 
 
 def _hash(line: Column) -> list[Column]:
-    return [F.xxhash64(line), F.xxhash64(line, F.lit("second"))]
+    return [F.xxhash64(line), F.xxhash64(F.lit("second"), line)]  # the first value seeds the hash of the second one
 
 
 def _lines(text: Column) -> Column:
