@@ -5,7 +5,8 @@ successor, the block of the row it replaces, and a serial number of its shard. R
 numbers are listed by the next append of the shard, or by filler rows once 65 have gathered or the block ends.
 
 This is the batch form: it spreads each key over the blocks from its first one on, so it suits feeds with many keys and a
-bounded number of blocks (:data:`MAX_BLOCKS`). :mod:`..engine` commits block by block instead.
+bounded number of blocks (:data:`MAX_BLOCKS`). :mod:`..engine` commits block by block instead. Rows that several branches
+read are written to the shared checkpoint folder once.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import END_GUARD, SHARDS, START_GUARD, TWIG_SIZE, shard_id
+from ..lineage import shared
 from .ordered import with_next
 from .state import last_writer
 
@@ -42,6 +44,7 @@ def key_states(ops: DataFrame) -> DataFrame:
         .withColumn("live", F.last("wrote", ignorenulls=True).over(upto) == "S")
         .withColumn("value", F.last(F.when(F.col("wrote") == "S", F.col("value")), ignorenulls=True).over(upto))
     )
+    states = shared(states)
     linked = with_next(states.where("live").select("key", "block"), "after", ["block"]).select("key", "block", F.coalesce("after", "key").alias("next_key"))
     return (
         states.join(linked, ["key", "block"], "left")
@@ -64,7 +67,7 @@ def version_log(ops: DataFrame, *, base_sn: int = TWIG_SIZE) -> DataFrame:
     last_block = F.last(F.when(F.col("appends"), F.col("block")), ignorenulls=True).over(earlier)
     last_height = F.when(F.col("block") == -1, F.lit(-1)).when(~F.col("existed"), F.lit(0)).otherwise(last_block).cast("long")
     changed = states.withColumn("last_height", last_height).where("appends or deletes").withColumn("shard", shard_id(F.col("key")))
-    rows = expand_steps(changed)
+    rows = shared(expand_steps(shared(changed)))
     # serial numbers: rows taken in the shard's earlier blocks, and before this one in its own block
     per_block = rows.groupBy("shard", "block").agg(F.sum("takes").alias("taken"))
     before = per_block.withColumn("before", F.sum("taken").over(Window.partitionBy("shard").orderBy("block")) - F.col("taken")).drop("taken")
@@ -72,7 +75,7 @@ def version_log(ops: DataFrame, *, base_sn: int = TWIG_SIZE) -> DataFrame:
     replaced = F.last(F.when(F.col("kind") == 1, F.col("sn")), ignorenulls=True).over(
         Window.partitionBy("key").orderBy("block", "kind").rowsBetween(Window.unboundedPreceding, -1)
     )
-    return list_deactivations(rows.withColumn("replaced", F.when(F.col("kind") == 0, replaced)))
+    return list_deactivations(shared(rows.withColumn("replaced", F.when(F.col("kind") == 0, replaced))))
 
 
 def expand_steps(changed: DataFrame) -> DataFrame:

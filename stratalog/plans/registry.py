@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from ..lineage import checkpoint_root, shared
 from ..operators import lifecycle, merkle, ordered, overlay, proofs, rabbit, state, transfers, versions
 from ..sources import feeds
 from ..streaming.commit import stream_current_state
@@ -32,20 +32,6 @@ def query(sql: str | None) -> Callable[[Query], Query]:
     return add
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the session names; a private one only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stratalog-"))
-    return sc.getCheckpointDir()
-
-
-def shared(df: DataFrame) -> DataFrame:
-    """Cut the lineage of what several branches of a plan read."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
-
-
 hexed = K.hexed
 
 
