@@ -72,7 +72,7 @@ def decode_entry(text: Column) -> Column:
     escapes = F.array_position(marks, F.lit(0xFFFFFFFF).cast("long")) - 1
     start = 4 + 4 * escapes + 4
     fixed = F.aggregate(
-        F.slice(marks, F.lit(1), escapes.cast("int")), text, lambda acc, p: F.overlay(acc, F.lit(MAGIC), (2 * (p + 4) + 1).cast("int"), F.lit(16))
+        F.slice(marks, F.lit(1), escapes.cast("int")), text, lambda acc, p: F.overlay(acc, F.lit(MAGIC), (2 * (p + 8) + 1).cast("int"), F.lit(16))
     )
     key_len = read_le(fixed, start, 4)
     value_at = start + 4 + key_len
