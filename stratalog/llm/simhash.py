@@ -34,6 +34,8 @@ from . import gray
 from .common import bound_arrow_batches, checkpointed, connected_components, fresh_name
 
 BUCKET = 2048
+#: A pair of Jaccard 0.8 misses all bands with chance (1 - 0.8^8)^64 = 8e-6.
+BANDS, BAND_ROWS = 64, 8
 SEED = 42
 _PIECE = 65536
 _FLUSH = 1 << 18
@@ -290,13 +292,162 @@ def near_duplicate_classes(
     ).select("id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, words: int = 5, lanes: int = 4, max_diff: int = 48, tables: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text."""
+    return np.unique(np.array(shingle_hashes((text or "").encode("utf-8", "surrogatepass").lower().split(), k), dtype=np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key a band: two sets of Jaccard J agree in a band with chance ``J ** BAND_ROWS``."""
+    rng = np.random.default_rng(11)
+    factor = rng.integers(0, 2**32, BANDS * BAND_ROWS, dtype=np.uint32) | np.uint32(1)
+    mix = rng.integers(0, 2**63, (BANDS, BAND_ROWS), dtype=np.uint64) | np.uint64(1)
+    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32)
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(high), 2048):
+        np.minimum(least, np.multiply.outer(factor, high[at : at + 2048]).min(axis=1), out=least)
+    key = (least.reshape(BANDS, BAND_ROWS).astype(np.uint64) * mix).sum(axis=1, dtype=np.uint64)
+    return key ^ (key >> np.uint64(31))
+
+
+def jaccard_forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Label of each set: the first one that it is joined to by links of at least ``similarity``, each decided exactly."""
+    label = np.arange(len(sets))
+    size = np.array([len(x) for x in sets], np.int64)
+    flat, ids = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    cut = np.cumsum(size) - size
+    mark = np.zeros(len(flat), bool)
+    left = np.arange(len(sets))
+    packed, entries, ends = left, ids, np.r_[0, np.cumsum(size)]
+    while len(left):
+        root, left = left[0], left[1:]
+        waiting = [root]
+        while waiting and len(left):
+            if 2 * len(left) < len(packed):
+                packed = left
+                entries = np.concatenate([ids[cut[x] : cut[x] + size[x]] for x in left])
+                ends = np.r_[0, np.cumsum(size[left])]
+            one = waiting.pop()
+            own = ids[cut[one] : cut[one] + size[one]]
+            mark[own] = True
+            common = np.diff(np.r_[0, np.cumsum(mark[entries])][ends])[np.searchsorted(packed, left)]
+            mark[own] = False
+            near = common * (1 + similarity) >= similarity * (size[left] + size[one]) - 1e-9
+            label[left[near]] = root
+            waiting.extend(left[near])
+            left = left[~near]
+    return label
+
+
+def verified_classes(docs: DataFrame, *, words: int, lanes: int, max_diff: int, tables: int, similarity: float, id_col: str, text_col: str, bucket: int = BUCKET) -> DataFrame:
+    """``(id, component_id)`` of every row; texts are linked if the Jaccard similarity of their shingles is ``similarity`` or more.
+
+    Hits of the SimHash tables and of MinHash bands are candidates only. Their closure gives groups of texts, and all texts of
+    a group are compared exactly (by 64-bit hashes of the shingles), so a link is never wrong, and a near pair is lost only
+    if it has neither a band, nor a table, nor a chain of candidates in common. A group of over ``bucket`` texts is compared
+    by pairs of chunks.
+    """
+    bound_arrow_batches(docs.sparkSession)
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    names = lane_names(lanes)
+    kind = dict(slim.dtypes)["id"]
+
+    def node_of(text: str | None) -> bytes:
+        return xxhash.xxh3_128_digest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            fp = fingerprints(texts, words, lanes).view(np.int64)
+            keys = [band_keys(shingle_set(t, words)).view(np.int64) for t in texts]
+            cols = [pa.array([node_of(t) for t in texts], pa.binary()), *(pa.array(fp[:, k]) for k in range(lanes)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", "node", *names, "bands"])
+
+    rows = checkpointed(slim.mapInArrow(sign, ", ".join([f"id {kind}", "node binary", *(f"{n} long" for n in names), "bands array<long>"])))
+    nodes = checkpointed(
+        rows.groupBy("node").agg(F.min("id").alias("least"), *(F.first(n).alias(n) for n in names), F.first("bands").alias("bands"))
+        .withColumn("v", F.xxhash64("node"))
+    )
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # key and first vertex of the run that goes on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if held is not None:
+                key, v = np.r_[held[0], key], np.r_[held[1], v]
+            first = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(len(key)), 0))
+            moved = np.flatnonzero(v != v[first])
+            yield pa.RecordBatch.from_arrays([pa.array(v[moved]), pa.array(v[first[moved]])], names=["a", "b"])
+            held = key[-1], v[first[-1]]
+
+    prints = nodes.groupBy(*names).agg(F.min("v").alias("lead"))
+    same = nodes.join(prints, names).select(F.col("v").alias("a"), F.col("lead").alias("b")).where("a != b")
+    hits = near_links(prints, lanes=lanes, max_diff=max_diff, tables=sampled_tables(lanes, tables))
+    named = prints.select(F.struct(*names).alias("fp"), "lead")
+    tabled = hits.join(named.withColumnsRenamed({"fp": "a", "lead": "va"}), "a").join(named.withColumnsRenamed({"fp": "b", "lead": "vb"}), "b").select(F.col("va").alias("a"), F.col("vb").alias("b"))
+    banded = nodes.select(F.explode("bands").alias("key"), "v").repartition("key").sortWithinPartitions("key").mapInArrow(runs, "a long, b long")
+    groups = connected_components(same.unionByName(tabled).unionByName(banded), "a", "b").withColumnsRenamed({"node": "v", "component": "grp"})
+
+    members = checkpointed(nodes.select("node", "least", "v").join(groups, "v").select("node", "least", "grp"))
+    large = members.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(max(1, bucket // 2))).cast("int").alias("chunks"), F.count("*").alias("n")).where(F.col("n") > bucket).drop("n")
+    dealt = (
+        members.join(F.broadcast(large), "grp", "left")
+        .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        .withColumn("own", F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("node", "least", "grp", F.least("own", "other").alias("c0"), F.greatest("own", "other").alias("c1"))
+    )
+
+    def named_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(t) for t in batch.column(1).to_pylist()], pa.binary()), batch.column(1)], names=["node", "t"])
+
+    texts = slim.mapInArrow(named_texts, "node binary, t string").groupBy("node").agg(F.first("t").alias("t"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, sets = None, [], []
+
+        def links() -> pa.RecordBatch:
+            label = jaccard_forest(sets, similarity)
+            moved = [k for k in range(len(held)) if label[k] != k]
+            ends = [[held[k] for k in moved], [held[label[k]] for k in moved]]
+            cols = [pa.array([e[c] for e in end], t) for end in ends for c, t in ((0, id_type), (1, pa.binary()))]
+            return pa.RecordBatch.from_arrays(cols, names=["la", "na", "lb", "nb"])
+
+        for batch in batches:
+            id_type = batch.column(3).type
+            for g, c0, c1, least, node, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g, c0, c1) != at:
+                    if len(held) > 1:
+                        yield links()
+                    at, held, sets = (g, c0, c1), [], []
+                held.append((least, node))
+                sets.append(shingle_set(t, words))
+        if len(held) > 1:
+            yield links()
+
+    by = ["grp", "c0", "c1"]
+    found = (
+        dealt.join(texts, "node").select(*by, "least", "node", "t").repartition(*by).sortWithinPartitions(*by)
+        .mapInArrow(compare, f"la {kind}, na binary, lb {kind}, nb binary")
+    )
+    # vertices in order of their ids (null last), so a component is named by its smallest id
+    vertex = lambda least, node: F.struct(F.col(least).isNull().alias("none"), F.col(least).alias("least"), F.col(node).alias("node"))
+    classes = connected_components(found.select(vertex("la", "na").alias("a"), vertex("lb", "nb").alias("b")), "a", "b")
+    named = classes.select(F.col("node.node").alias("node"), F.col("component.least").alias("component_id"))
+    known = nodes.select("node", "least").join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    return rows.select("id", "node").join(known, "node").select("id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, *, words: int = 5, lanes: int = 4, max_diff: int = 48, tables: int = 48, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Keep one row (the smallest id) of each class of near-duplicates; the columns are those of ``docs``.
 
-    The defaults aim at a Jaccard similarity of 0.8 on five-word shingles: such a pair differs in about 39 of 256
-    bits, unrelated texts in about 128. Rows with a null id are kept. Repeated rows of a surviving id are reduced to one.
+    Near-duplicates are texts whose five-word shingles have a Jaccard similarity of 0.8 or more, verified for every link.
+    Rows with a null id are kept. Repeated rows of a surviving id are reduced to one.
     """
-    classes = near_duplicate_classes(docs, words=words, lanes=lanes, max_diff=max_diff, tables=tables, id_col=id_col, text_col=text_col)
+    classes = verified_classes(docs, words=words, lanes=lanes, max_diff=max_diff, tables=tables, similarity=similarity, id_col=id_col, text_col=text_col)
     classes = checkpointed(classes.select("id", "component_id"))
     key = fresh_name(docs, "near_id")
     gone = classes.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(key)).distinct()

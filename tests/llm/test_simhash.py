@@ -119,3 +119,28 @@ def test_survivors_of_repeated_rows(spark):
     df = documents(spark, [(1, "a b c"), (1, "a b c"), (2, "a b c"), (3, None), (4, ""), (5, "x y")], extra=True)
     kept = S.drop_near_duplicates(df)
     assert kept.columns == df.columns and sorted(x["doc_id"] for x in kept.collect()) == [1, 3, 5]
+
+
+def test_links_are_verified_and_none_is_lost(spark):
+    r = rng(12)
+    rows, i = [], 0
+    for _ in range(150):
+        w = words(r, r.randint(40, 300)).split()
+        v = list(w)
+        # edits of words far apart: similarity from about 0.6 to 0.95
+        for at in r.sample(range(len(v)), max(1, round(len(v) * r.uniform(0.005, 0.06)))):
+            v[at] = "edit"
+        rows += [(i, " ".join(w)), (i + 1, " ".join(v))]
+        i += 2
+    text = dict(rows)
+    kept = {x["doc_id"] for x in S.drop_near_duplicates(documents(spark, rows)).collect()}
+    near = {b for b in range(1, i, 2) if jaccard(text[b - 1], text[b]) >= 0.8}
+    assert 40 < len(near) < 110 and kept == set(text) - near
+
+
+def test_large_groups_are_compared_by_chunks(spark):
+    r = rng(13)
+    w = words(r, 200).split()
+    rows = [(k, " ".join(w[:k] + [f"edit{k}"] + w[k + 1 :])) for k in range(40)]
+    got = S.verified_classes(documents(spark, rows), words=5, lanes=4, max_diff=48, tables=48, similarity=0.8, id_col="doc_id", text_col="text", bucket=8).collect()
+    assert sorted((x["id"], x["component_id"]) for x in got) == [(k, 0) for k in range(40)]
