@@ -370,7 +370,7 @@ def verified_classes(docs: DataFrame, *, words: int, lanes: int, max_diff: int,
     )
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # key and first vertex of the run that goes on
+        held = None  # key and first vertex of the run that goes on; the least one, so runs of the same texts give the same links
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -387,7 +387,7 @@ def verified_classes(docs: DataFrame, *, words: int, lanes: int, max_diff: int,
     hits = near_links(prints, lanes=lanes, max_diff=max_diff, tables=sampled_tables(lanes, tables))
     named = prints.select(F.struct(*names).alias("fp"), "lead")
     tabled = hits.join(named.withColumnsRenamed({"fp": "a", "lead": "va"}), "a").join(named.withColumnsRenamed({"fp": "b", "lead": "vb"}), "b").select(F.col("va").alias("a"), F.col("vb").alias("b"))
-    banded = nodes.select(F.explode("bands").alias("key"), "v").repartition("key").sortWithinPartitions("key").mapInArrow(runs, "a long, b long")
+    banded = nodes.select(F.explode("bands").alias("key"), "v").repartition("key").sortWithinPartitions("key", "v").mapInArrow(runs, "a long, b long")
     groups = connected_components(same.unionByName(tabled).unionByName(banded), "a", "b").withColumnsRenamed({"node": "v", "component": "grp"})
 
     members = checkpointed(nodes.select("node", "least", "v").join(groups, "v").select("node", "least", "grp"))
