@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 
@@ -17,11 +18,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; a private one only where none is set (tests)."""
+    """Use the shared folder the session names. A private one is made in local mode only (tests); a cluster must name one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     configured = sc.getConf().get("spark.checkpoint.dir")
+    if configured is None and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="stratalog-checkpoint-"))
 
 
@@ -31,10 +34,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bound_arrow_batches(spark: SparkSession, rows: int = 4000, size: str = "48m") -> None:
-    """Bound what one Arrow batch brings into a Python worker, whatever the texts' lengths."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def bound_arrow_batches(spark: SparkSession, rows: int = 4000, megabytes: int = 48) -> None:
+    """Bound what one Arrow batch brings into a Python worker, whatever the texts' lengths.
+
+    The limits hold for the session, since Spark reads them when a plan runs. They are only ever lowered, so the order in
+    which plans are built does not matter and a session's own smaller limits stay.
+    """
+    now_rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if now_rows <= 0 or now_rows > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    now_bytes = _bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+    if now_bytes <= 0 or now_bytes > megabytes << 20:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+
+
+def _bytes(text: str) -> int:
+    """Bytes that a size such as ``48m`` names."""
+    digits, unit = re.match(r"\s*(-?\d+)\s*([a-z]*)", text.lower()).groups()
+    return int(digits) << {"k": 10, "m": 20, "g": 30, "t": 40, "p": 50}.get(unit[:1], 0)
 
 
 def fresh_name(df: DataFrame, stem: str) -> str:

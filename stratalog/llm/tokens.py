@@ -32,6 +32,8 @@ from .common import bound_arrow_batches, process_cache
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("start", "most", "split")
+#: White space as the pattern's ``\\s`` has it, in runs that are too long for the pattern's backtracking.
+LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{100000,}")
 
 
 class Encoder:
@@ -45,10 +47,25 @@ class Encoder:
         self.length = np.zeros(max(ranks.values(), default=0) + 1, dtype=np.int64)
         self.length[list(ranks.values())] = [len(k) for k in ranks]
 
+    def _encode(self, text: str) -> np.ndarray:
+        """Token numbers of the text.
+
+        The pattern always cuts where a run of white space begins and before its last character if something follows, so a
+        long run is taken out there and merged as the one piece that it is.
+        """
+        parts, at = [], 0
+        for run in LONG_BLANK.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            parts.append(self.encoding.encode_to_numpy(text[at : run.start()], disallowed_special=()))
+            parts.append(np.array(self.encoding._core_bpe.encode_single_piece(text[run.start() : end].encode()), np.uint32))
+            at = end
+        parts.append(self.encoding.encode_to_numpy(text[at:], disallowed_special=()))
+        return np.concatenate(parts).astype(np.int64)
+
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """First and end character of each token of the text."""
         text = text.encode("utf-8", "replace").decode("utf-8")
-        ids = np.asarray(self.encoding.encode_to_numpy(text, disallowed_special=()), dtype=np.int64)
+        ids = self._encode(text)
         ends = np.cumsum(self.length[ids])
         starts = ends - self.length[ids]
         raw = np.frombuffer(text.encode("utf-8"), np.uint8)

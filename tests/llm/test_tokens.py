@@ -77,3 +77,25 @@ def test_given_sections(spark):
     rows = T.count_tokens(df, sections_col="parts", rule="split").where("id = 1").collect()
     assert {r["name"] for r in rows} == {"a", "b", None}
     assert abs(sum(r["tokens"] for r in rows) - rows[0]["document_tokens"]) < 1e-9
+
+
+def test_very_long_white_space(spark):
+    e = encoder()
+    for text in (" " * 2_000_000, "\n" * 1_000_000, "x" + " \t" * 400_000 + "end", " " * 150_000 + "\u3000" + "a"):
+        start, end = e.spans(text)
+        assert start[0] == 0 and end[-1] == len(text) and (start[1:] <= end[:-1]).all()
+    rows = T.count_tokens(documents(spark, [(1, "a\n" + " " * 1_500_000 + "b\nc")])).collect()
+    assert len(rows) == 3 and sum(r["tokens"] for r in rows) == rows[0]["document_tokens"]
+
+
+def test_long_runs_are_cut_where_the_pattern_cuts(monkeypatch):
+    import random
+    import re
+
+    e = encoder()
+    blank = T.LONG_BLANK.pattern
+    for seed in range(500):
+        r = random.Random(seed)
+        text = "".join(r.choice([" ", "  ", "\n", "\t", "a", "bc", "\u00e9", "1", "!", "'s", " \u3000", "\x1c", "\xa0"]) for _ in range(r.randint(0, 60)))
+        monkeypatch.setattr(T, "LONG_BLANK", re.compile(blank.replace("100000", "2")))
+        assert e._encode(text).tolist() == e.encoding.encode_ordinary(text)
