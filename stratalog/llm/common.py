@@ -120,6 +120,17 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     )
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: Column, how: str = "inner", salts: int = 16) -> DataFrame:
+    """Equi-join in which a key's rows of ``left`` meet ``salts`` copies of its rows of ``right``.
+
+    For a large left side with hot keys and a small right one: a key that holds a third of all left rows is dealt over
+    ``salts`` tasks by the hash of ``spread``.
+    """
+    salt = F.pmod(F.xxhash64(spread, F.lit("salt")), F.lit(salts)).cast("int")
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("__salt", salt).join(copies, [*on, "__salt"], how).drop("__salt")
+
+
 def _digest(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x")).first()
     return row["n"], row["x"]

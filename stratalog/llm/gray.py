@@ -6,6 +6,10 @@ mask) and their values (a pattern); upper nodes hold what all their children sha
 in the positions that both masks cover and the patterns contradict, and a child only adds the positions that
 its parent did not cover: differences are accumulated on the way down and whole groups are pruned as soon as
 they exceed the limit.
+
+One tree spans all buckets of a chunk: rows are sorted by bucket, then by Gray rank, a node knows its first and last
+bucket, and two nodes without a bucket in common are pruned before any bit is looked at. Every pair goes through the
+tree, whatever the size of its bucket.
 """
 
 from __future__ import annotations
@@ -13,7 +17,6 @@ from __future__ import annotations
 import numpy as np
 
 FAN = 8
-SMALL = 16
 _SLICE = 4096
 
 
@@ -41,75 +44,51 @@ def _distance(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=1, dtype=np.int32)
 
 
-def _small_pairs(fp: np.ndarray, start: np.ndarray, size: np.ndarray, limit: int):
-    """Pairs inside small buckets: rows compared with the s-th following row, for all buckets at once."""
-    bucket = np.repeat(np.arange(len(size)), size)
-    rows = np.repeat(start, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-    found = []
-    for s in range(1, int(size.max(initial=0))):
-        same = bucket[:-s] == bucket[s:]
-        i, j = rows[:-s][same], rows[s:][same]
-        near = _distance(fp[i] ^ fp[j]) <= limit
-        found.append((i[near], j[near]))
-    return found
-
-
-def _levels(fp: np.ndarray):
-    """Bottom-up nodes: for each level the and and the or of the rows below, until one node is left."""
-    low, high = fp, fp
-    levels = []
-    while len(low) > 1 or not levels:
+def _levels(fp: np.ndarray, bucket: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(pattern, mask, first bucket, last bucket)`` of the nodes of each level, the root first and the rows last."""
+    low, high, first, last = fp, fp, bucket, bucket
+    levels = [(fp, np.full_like(fp, 0xFFFFFFFFFFFFFFFF), bucket, bucket)]
+    while len(low) > 1:
         at = np.arange(0, len(low), FAN)
         low, high = np.bitwise_and.reduceat(low, at, axis=0), np.bitwise_or.reduceat(high, at, axis=0)
-        levels.append((low, ~(low ^ high)))
+        first, last = first[at], last[np.minimum(at + FAN, len(last)) - 1]
+        levels.append((low, ~(low ^ high), first, last))
     return levels[::-1]
 
 
-def _large_pairs(fp: np.ndarray, base: int, limit: int):
-    """Pairs inside one Gray-sorted bucket by walking pairs of nodes from the top."""
-    levels = _levels(fp)
-    levels.append((fp, np.full_like(fp, 0xFFFFFFFFFFFFFFFF)))
+def near_pairs(fp: np.ndarray, bucket: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of one bucket that differ in at most ``limit`` bits.
+
+    Rows of a bucket stand together, in Gray order, and buckets ascend. Returns row numbers ``(i, j)``.
+    """
+    if len(fp) < 2:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    levels = _levels(fp, bucket)
+    fan = np.arange(FAN)
     stack = [(0, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int32))]
-    found = []
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
     while stack:
         depth, a, b, acc = stack.pop()
         if len(a) > _SLICE:
             stack += [(depth, a[k : k + _SLICE], b[k : k + _SLICE], acc[k : k + _SLICE]) for k in range(0, len(a), _SLICE)]
             continue
-        pattern, mask = levels[depth]
         if depth == len(levels) - 1:
-            found.append((base + a, base + b))
+            found.append((a, b))
             continue
-        below, inner = levels[depth + 1]
-        fan = np.arange(FAN)
+        _, mask, _, _ = levels[depth]
+        below, inner, first, last = levels[depth + 1]
         ca = np.repeat(a[:, None] * FAN + fan, FAN, axis=1).ravel()
         cb = np.tile(b[:, None] * FAN + fan, (1, FAN)).ravel()
         parent = np.repeat(np.arange(len(a)), FAN * FAN)
-        last = depth + 1 == len(levels) - 1
-        keep = (ca < len(below)) & (cb < len(below)) & ((ca < cb) if last else (ca <= cb))
+        keep = (ca < len(below)) & (cb < len(below)) & ((ca < cb) if depth + 2 == len(levels) else (ca <= cb))
         ca, cb, parent = ca[keep], cb[keep], parent[keep]
+        meet = last[ca] >= first[cb]
+        ca, cb, parent = ca[meet], cb[meet], parent[meet]
         fresh = inner[ca] & inner[cb] & ~(mask[a] & mask[b])[parent]
         total = acc[parent] + _distance((below[ca] ^ below[cb]) & fresh)
         near = total <= limit
-        stack.append((depth + 1, ca[near], cb[near], total[near]))
-    return found
-
-
-def near_pairs(fp: np.ndarray, bucket: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of rows of one bucket that differ in at most ``limit`` bits.
-
-    Rows of a bucket stand together, in Gray order. Returns row numbers ``(i, j)``.
-    """
-    if len(fp) < 2:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    size = np.diff(np.r_[start, len(fp)])
-    small = (size <= SMALL) & (size > 1)
-    found = _small_pairs(fp, start[small], size[small], limit) if small.any() else []
-    for s, n in zip(start[size > SMALL], size[size > SMALL], strict=True):
-        found += _large_pairs(fp[s : s + n], int(s), limit)
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        if near.any():
+            stack.append((depth + 1, ca[near], cb[near], total[near]))
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 

@@ -9,20 +9,20 @@ Two ways to choose the tables:
 * *exact* (``max_diff`` small against the bits): the 64 bits are cut into m blocks, and any pair within ``max_diff``
   agrees on at least ``m - max_diff`` of them, so each choice of that many blocks is a table and no link is lost. m
   follows the number of distinct fingerprints, so buckets stay small at any size.
-* *sampled* (long fingerprints, wide limits): each table takes a few of the fingerprint's bytes as its key. The
-  recall follows from the number of tables and is measured against brute force in the tests.
+* *sampled* (long fingerprints, wide limits): each table takes a few of the fingerprint's bytes as its key, more of them
+  for more fingerprints. Used for candidates only, beside MinHash bands.
 
-A bucket of over :data:`BUCKET` distinct fingerprints is set aside as it streams by and searched in a second pass
-over pairs of chunks, so no task ever gathers it. Defined results: a null or blank text has fingerprint zero and
+A bucket of over :data:`BUCKET` distinct fingerprints is set aside as it streams by and searched in chunks, so no task
+ever gathers it (see :func:`chunked_links`). Defined results: a null or blank text has fingerprint zero and
 links like any other; repeated rows are repeated in the result; an empty table gives an empty result; extra columns
 are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
-from math import comb, log2
+from math import ceil, comb, log2
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gray
-from .common import bound_arrow_batches, checkpointed, connected_components, fresh_name
+from .common import bound_arrow_batches, checkpointed, connected_components, fresh_name, salted_join
 
 BUCKET = 2048
+#: Members of a chunked group that every chunk sees.
+LEADERS = 64
+#: Shingles that one chunk of texts holds.
+CHUNK_SHINGLES = 2_000_000
 #: A pair of Jaccard 0.8 misses all bands with chance (1 - 0.8^8)^64 = 8e-6.
 BANDS, BAND_ROWS = 64, 8
 SEED = 42
@@ -130,6 +134,11 @@ def exact_tables(distinct: int, max_diff: int, most: int = 60) -> list[tuple[int
     return [sum(block[i] for i in pick) for pick in combinations(range(m), m - max_diff)]
 
 
+def key_bytes(distinct: int) -> int:
+    """Bytes of a sampled table's key, so that some 16 unrelated fingerprints share a bucket at most."""
+    return max(2, ceil((log2(max(2, distinct)) - 4) / 8))
+
+
 def sampled_tables(lanes: int, tables: int, width: int = 2) -> list[tuple[int, ...]]:
     """Byte positions of each table's key: distinct choices of ``width`` bytes, dealt evenly over all bytes."""
     rng, n, seen = np.random.default_rng(7), lanes * 8, []
@@ -244,20 +253,56 @@ def near_links(distinct: DataFrame, *, lanes: int, max_diff: int, tables: list,
         rows.repartition("tbl", "key").sortWithinPartitions("tbl", "key").mapInArrow(_search(max_diff, lanes, bucket), _schema(lanes))
     )
     links = first.where("kind = 0")
+    links = links.select(F.struct(*names).alias("a"), F.struct(*(F.col(f"to_{n}").alias(n) for n in names)).alias("b"))
     late = first.where("kind = 1")
-    if not late.isEmpty():
-        chunks = late.groupBy("tbl", "key").agg(F.ceil(F.count("*") / F.lit(bucket // 2)).cast("int").alias("chunks"))
-        own = F.pmod(F.xxhash64(*names, F.lit("chunk")), F.col("chunks")).cast("int")
-        paired = (
-            late.join(chunks, ["tbl", "key"])
-            .withColumn("own", own)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            .select("tbl", "key", F.least("own", "other").alias("c0"), F.greatest("own", "other").alias("c1"), *names)
-        )
+    if late.isEmpty():
+        return links
+    members = late.groupBy("tbl", "key", *names).agg(F.lit(1).alias("weight")).withColumn("node", F.struct(*names))
+
+    def search(dealt: DataFrame) -> DataFrame:
         by = ["tbl", "key", "c0", "c1"]
-        again = paired.repartition(*by).sortWithinPartitions(*by).mapInArrow(_search(max_diff, lanes, None), _schema(lanes))
-        links = links.unionByName(again)
-    return links.select(F.struct(*names).alias("a"), F.struct(*(F.col(f"to_{n}").alias(n) for n in names)).alias("b"))
+        found = dealt.select(*by, *names).repartition(*by).sortWithinPartitions(*by).mapInArrow(_search(max_diff, lanes, None), _schema(lanes))
+        return found.select(F.struct(*names).alias("a"), F.struct(*(F.col(f"to_{n}").alias(n) for n in names)).alias("b"))
+
+    return chunked_links(members, ["tbl", "key"], search, links, most=bucket, heaviest=bucket)[0]
+
+
+def chunked_links(members: DataFrame, by: list[str], search: Callable[[DataFrame], DataFrame], links: DataFrame | None, *, most: int, heaviest: int) -> tuple[DataFrame, DataFrame]:
+    """Links within groups of any size, and the components ``(node, component)`` of all links.
+
+    ``members`` has the columns ``by``, ``node`` and ``weight`` (and what ``search`` reads); a group is dealt by hash into
+    chunks of about ``most`` members and ``heaviest`` weight. ``search`` links the rows that share ``(*by, c0, c1)`` to a
+    spanning forest of their near pairs. First every chunk is searched by itself, together with the group's leaders. What
+    is then in the group's largest component need not be compared any more; the rest (usually nothing, or a few rows) is
+    compared with every chunk. So no near pair is left unlinked, and the rows dealt grow with the group, not with its
+    square, unless the group falls into many parts.
+    """
+    sizes = members.groupBy(*by).agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    chunks = F.greatest(F.ceil(F.col("n") / F.lit(most)), F.ceil(F.col("w") / F.lit(heaviest))).cast("int")
+    sizes = sizes.withColumn("chunks", F.greatest(chunks, F.lit(1))).withColumn("one_of", F.ceil(F.col("n") / F.lit(LEADERS)).cast("int"))
+    large = checkpointed(sizes.where("chunks > 1").select(*by, "chunks", "one_of"))
+    placed = salted_join(members, large, by, F.col("node"), "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    placed = checkpointed(placed.withColumn("own", F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int")))
+    alone = F.array(F.col("own"))
+    leads = F.coalesce(F.pmod(F.xxhash64("node", F.lit("leader")), F.col("one_of")) == 0, F.lit(False))
+    everywhere = F.sequence(F.lit(0), F.col("chunks") - 1)
+    found = search(placed.withColumn("c0", F.explode(F.when(leads, everywhere).otherwise(alone))).withColumn("c1", F.lit(-1)))
+    found = checkpointed(found if links is None else links.unionByName(found))
+    classes = connected_components(found, "a", "b")
+    if large.isEmpty():
+        return found, classes
+    split = checkpointed(placed.where("chunks > 1").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    parts = split.groupBy(*by, "component").agg(F.count("*").alias("n"))
+    top = parts.groupBy(*by).agg(F.max(F.struct("n", "component"))["component"].alias("top"), F.sum("n").alias("all"), F.max("n").alias("held"))
+    top = checkpointed(top.where(F.col("all") > F.col("held")).withColumn("rests", F.ceil((F.col("all") - F.col("held")) / F.lit(most)).cast("int")).drop("all", "held"))
+    if top.isEmpty():
+        return found, classes
+    split = salted_join(split, top, by, F.col("node"))
+    rest_of = F.pmod(F.xxhash64("node", F.lit("rest")), F.col("rests")).cast("int")
+    whole = split.withColumn("c1", F.col("own")).withColumn("c0", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
+    rest = split.where("component != top").withColumn("c0", rest_of).withColumn("c1", F.explode(everywhere)).where("c1 != own")
+    found = checkpointed(found.unionByName(search(whole.unionByName(rest))))
+    return found, connected_components(found, "a", "b")
 
 
 def near_duplicate_classes(
@@ -280,15 +325,13 @@ def near_duplicate_classes(
     picked = exact_tables(distinct.count(), max_diff) if tables is None else sampled_tables(lanes, tables)
     links = near_links(distinct, lanes=lanes, max_diff=max_diff, tables=picked)
     members = connected_components(links, "a", "b")
-    classes = (
-        distinct.select(F.struct(*names).alias("node"), "least_id")
-        .join(members, "node", "left")
-        .select("node", "least_id", F.coalesce("component", "node").alias("component"))
-    )
-    least = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = classes.join(least, "component").select("node", "component_id")
+    nodes = distinct.select(F.struct(*names).alias("node"), "least_id")
+    linked = checkpointed(nodes.join(members, "node"))
+    least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = salted_join(linked, least, ["component"], F.col("node")).select("node", "component_id")
+    single = nodes.join(members, "node", "left_anti").select("node", F.col("least_id").alias("component_id"))
     return rows.select("id", F.struct(*names).alias("fp")).join(
-        named.withColumnRenamed("node", "fp"), "fp"
+        named.unionByName(single).withColumnRenamed("node", "fp"), "fp"
     ).select("id", "fp", "component_id")
 
 
@@ -340,34 +383,81 @@ def jaccard_forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def verified_classes(docs: DataFrame, *, words: int, lanes: int, max_diff: int, tables: int, similarity: float, id_col: str, text_col: str, bucket: int = BUCKET) -> DataFrame:
-    """``(id, component_id)`` of every row; texts are linked if the Jaccard similarity of their shingles is ``similarity`` or more.
+    """``(id, text_key, component_id, kept)`` of every row; texts are linked if the Jaccard similarity of their shingles is
+    ``similarity`` or more.
 
-    Hits of the SimHash tables and of MinHash bands are candidates only. Their closure gives groups of texts, and all texts of
-    a group are compared exactly (by 64-bit hashes of the shingles), so a link is never wrong, and a near pair is lost only
-    if it has neither a band, nor a table, nor a chain of candidates in common. A group of over ``bucket`` texts is compared
-    by pairs of chunks.
+    Hits of the SimHash tables and of MinHash bands are candidates only. Their closure gives groups of texts, and the texts
+    of a group are compared exactly (by 64-bit hashes of the shingles), so a link is never wrong, and a near pair is lost
+    only if it has neither a band, nor a table, nor a chain of candidates in common. ``text_key`` is the text's MD5; the row
+    with the smallest id (null last) and key of a class is the one that is ``kept``, ids that repeat included.
     """
     bound_arrow_batches(docs.sparkSession)
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    text = F.col(text_col).cast("string")
+    slim = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("text_key"), text.alias("t"))
     names = lane_names(lanes)
     kind = dict(slim.dtypes)["id"]
 
-    def node_of(text: str | None) -> bytes:
-        return xxhash.xxh3_128_digest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
-
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             fp = fingerprints(texts, words, lanes).view(np.int64)
-            keys = [band_keys(shingle_set(t, words)).view(np.int64) for t in texts]
-            cols = [pa.array([node_of(t) for t in texts], pa.binary()), *(pa.array(fp[:, k]) for k in range(lanes)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", "node", *names, "bands"])
-
-    rows = checkpointed(slim.mapInArrow(sign, ", ".join([f"id {kind}", "node binary", *(f"{n} long" for n in names), "bands array<long>"])))
+            sets = [shingle_set(t, words) for t in texts]
+            nodes = [xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) for t in texts]
+            cols = [pa.array(nodes, pa.binary()), *(pa.array(fp[:, k]) for k in range(lanes))]
+            cols += [pa.array([band_keys(x).view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], names=["id", "text_key", "node", *names, "bands", "weight"])
+
+    signed = f"id {kind}, text_key string, node binary, {', '.join(f'{n} long' for n in names)}, bands array<long>, weight long"
+    rows = checkpointed(slim.mapInArrow(sign, signed))
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
     nodes = checkpointed(
-        rows.groupBy("node").agg(F.min("id").alias("least"), *(F.first(n).alias(n) for n in names), F.first("bands").alias("bands"))
+        rows.groupBy("node").agg(F.min(own).alias("least"), *(F.first(n).alias(n) for n in names), F.first("bands").alias("bands"), F.first("weight").alias("weight"))
         .withColumn("v", F.xxhash64("node"))
     )
+    groups = _candidate_groups(nodes, lanes, max_diff, tables)
+    vertex = F.struct("least.none", "least.id", "least.text_key", F.col("node").alias("node"))
+    members = checkpointed(nodes.select(vertex.alias("node"), "weight", "v").join(groups, "v").select("grp", "node", "weight"))
+    texts = slim.groupBy("text_key").agg(F.first("t").alias("t"))  # one row a text: equal ones are combined before the shuffle
+    point = f"struct<none: boolean, id: {kind}, text_key: string, node: binary>"
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, sets, point_type = None, [], [], None
+
+        def links() -> pa.RecordBatch:
+            label = jaccard_forest(sets, similarity)
+            moved = [k for k in range(len(held)) if label[k] != k]
+            ends = [[held[k] for k in moved], [held[label[k]] for k in moved]]
+            return pa.RecordBatch.from_arrays([pa.array(e, point_type) for e in ends], names=["a", "b"])
+
+        for batch in batches:
+            point_type = batch.column(3).type
+            for g, c0, c1, node, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g, c0, c1) != at:
+                    if len(held) > 1:
+                        yield links()
+                    at, held, sets = (g, c0, c1), [], []
+                held.append(node)
+                sets.append(shingle_set(t, words))
+        if len(held) > 1:
+            yield links()
+
+    def search(dealt: DataFrame) -> DataFrame:
+        by = ["grp", "c0", "c1"]
+        with_text = dealt.select(*by, "node", F.col("node.text_key").alias("text_key")).join(texts, "text_key").select(*by, "node", "t")
+        return with_text.repartition(*by).sortWithinPartitions(*by, "node").mapInArrow(compare, f"a {point}, b {point}")
+
+    _, classes = chunked_links(members, ["grp"], search, None, most=bucket, heaviest=CHUNK_SHINGLES)
+    # a component is named by its least vertex, which is the row to keep
+    first = F.col("component")
+    named = classes.select(F.col("node.node").alias("node"), F.struct(first["none"].alias("none"), first["id"].alias("id"), first["text_key"].alias("text_key")).alias("chosen"))
+    known = nodes.select("node", "least").join(named, "node", "left").select("node", F.coalesce("chosen", "least").alias("chosen"))
+    kept = F.col("id").eqNullSafe(F.col("chosen.id")) & (F.col("text_key") == F.col("chosen.text_key"))
+    return rows.select("id", "text_key", "node").join(known, "node").select("id", "text_key", F.col("chosen.id").alias("component_id"), kept.alias("kept"))
+
+
+def _candidate_groups(nodes: DataFrame, lanes: int, max_diff: int, tables: int) -> DataFrame:
+    """``(v, grp)`` of the nodes that share a fingerprint, a near fingerprint or a MinHash band with another one."""
+    names = lane_names(lanes)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # key and first vertex of the run that goes on; the least one, so runs of the same texts give the same links
@@ -382,79 +472,37 @@ def verified_classes(docs: DataFrame, *, words: int, lanes: int, max_diff: int,
             yield pa.RecordBatch.from_arrays([pa.array(v[moved]), pa.array(v[first[moved]])], names=["a", "b"])
             held = key[-1], v[first[-1]]
 
-    prints = nodes.groupBy(*names).agg(F.min("v").alias("lead"))
+    prints = checkpointed(nodes.groupBy(*names).agg(F.min("v").alias("lead")))
     same = nodes.join(prints, names).select(F.col("v").alias("a"), F.col("lead").alias("b")).where("a != b")
-    hits = near_links(prints, lanes=lanes, max_diff=max_diff, tables=sampled_tables(lanes, tables))
+    picked = sampled_tables(lanes, tables, key_bytes(prints.count()))
+    hits = near_links(prints, lanes=lanes, max_diff=max_diff, tables=picked)
     named = prints.select(F.struct(*names).alias("fp"), "lead")
     tabled = hits.join(named.withColumnsRenamed({"fp": "a", "lead": "va"}), "a").join(named.withColumnsRenamed({"fp": "b", "lead": "vb"}), "b").select(F.col("va").alias("a"), F.col("vb").alias("b"))
     banded = nodes.select(F.explode("bands").alias("key"), "v").repartition("key").sortWithinPartitions("key", "v").mapInArrow(runs, "a long, b long")
-    groups = connected_components(same.unionByName(tabled).unionByName(banded), "a", "b").withColumnsRenamed({"node": "v", "component": "grp"})
-
-    members = checkpointed(nodes.select("node", "least", "v").join(groups, "v").select("node", "least", "grp"))
-    large = members.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(max(1, bucket // 2))).cast("int").alias("chunks"), F.count("*").alias("n")).where(F.col("n") > bucket).drop("n")
-    dealt = (
-        members.join(F.broadcast(large), "grp", "left")
-        .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        .withColumn("own", F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("node", "least", "grp", F.least("own", "other").alias("c0"), F.greatest("own", "other").alias("c1"))
-    )
-
-    def named_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(t) for t in batch.column(1).to_pylist()], pa.binary()), batch.column(1)], names=["node", "t"])
-
-    texts = slim.mapInArrow(named_texts, "node binary, t string").groupBy("node").agg(F.first("t").alias("t"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, sets = None, [], []
-
-        def links() -> pa.RecordBatch:
-            label = jaccard_forest(sets, similarity)
-            moved = [k for k in range(len(held)) if label[k] != k]
-            ends = [[held[k] for k in moved], [held[label[k]] for k in moved]]
-            cols = [pa.array([e[c] for e in end], t) for end in ends for c, t in ((0, id_type), (1, pa.binary()))]
-            return pa.RecordBatch.from_arrays(cols, names=["la", "na", "lb", "nb"])
-
-        for batch in batches:
-            id_type = batch.column(3).type
-            for g, c0, c1, least, node, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (g, c0, c1) != at:
-                    if len(held) > 1:
-                        yield links()
-                    at, held, sets = (g, c0, c1), [], []
-                held.append((least, node))
-                sets.append(shingle_set(t, words))
-        if len(held) > 1:
-            yield links()
-
-    by = ["grp", "c0", "c1"]
-    found = (
-        dealt.join(texts, "node").select(*by, "least", "node", "t").repartition(*by).sortWithinPartitions(*by)
-        .mapInArrow(compare, f"la {kind}, na binary, lb {kind}, nb binary")
-    )
-    # vertices in order of their ids (null last), so a component is named by its smallest id
-    vertex = lambda least, node: F.struct(F.col(least).isNull().alias("none"), F.col(least).alias("least"), F.col(node).alias("node"))
-    classes = connected_components(found.select(vertex("la", "na").alias("a"), vertex("lb", "nb").alias("b")), "a", "b")
-    named = classes.select(F.col("node.node").alias("node"), F.col("component.least").alias("component_id"))
-    known = nodes.select("node", "least").join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.select("id", "node").join(known, "node").select("id", "component_id")
+    # a node has a link a band and table at most: all its ends are linked to the least of them, which leaves about one edge a node
+    ends = same.unionByName(tabled).unionByName(banded).groupBy("a").agg(F.collect_set("b").alias("ends")).withColumn("top", F.array_min("ends"))
+    edges = ends.select("top", F.explode(F.concat(F.array("a"), "ends")).alias("b")).where("top != b").distinct()
+    return connected_components(edges, "top", "b").withColumnsRenamed({"node": "v", "component": "grp"})
 
 
 def drop_near_duplicates(docs: DataFrame, *, words: int = 5, lanes: int = 4, max_diff: int = 48, tables: int = 48, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keep one row (the smallest id) of each class of near-duplicates; the columns are those of ``docs``.
+    """Keep one row (the smallest id, null last) of each class of near-duplicates; the columns are those of ``docs``.
 
     Near-duplicates are texts whose five-word shingles have a Jaccard similarity of 0.8 or more, verified for every link.
-    Rows with a null id are kept. Repeated rows of a surviving id are reduced to one.
+    Rows are told apart by id and text, so rows of one id with different texts are judged each for itself; rows equal in
+    both are reduced to one.
     """
     classes = verified_classes(docs, words=words, lanes=lanes, max_diff=max_diff, tables=tables, similarity=similarity, id_col=id_col, text_col=text_col)
-    classes = checkpointed(classes.select("id", "component_id"))
-    key = fresh_name(docs, "near_id")
-    gone = classes.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(key)).distinct()
-    repeated = classes.where(F.col("id") == F.col("component_id")).groupBy("id").count().where("count > 1").select(F.col("id").alias(key))
-    kept = docs.join(gone, F.col(id_col) == F.col(key), "left_anti")
+    classes = checkpointed(classes)
+    key, text_key = fresh_name(docs, "near_id"), fresh_name(docs, "near_text")
+    row = [F.col("id").alias(key), F.col("text_key").alias(text_key)]
+    own = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+    gone = classes.where("not kept").select(*row).distinct()
+    repeated = classes.where("kept").groupBy("id", "text_key").count().where("count > 1").select(*row)
+    fits = lambda left: left[id_col].eqNullSafe(F.col(key)) & (own == F.col(text_key))
+    kept = docs.join(gone, fits(docs), "left_anti")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, F.col(id_col) == F.col(key), "left_anti")
-    again = kept.join(repeated, F.col(id_col) == F.col(key), "left_semi").dropDuplicates([id_col])
+    once = kept.join(repeated, fits(kept), "left_anti")
+    again = kept.join(repeated, fits(kept), "left_semi").dropDuplicates([id_col, text_col])
     return once.unionByName(again)

@@ -121,6 +121,15 @@ def test_survivors_of_repeated_rows(spark):
     assert kept.columns == df.columns and sorted(x["doc_id"] for x in kept.collect()) == [1, 3, 5]
 
 
+def test_repeated_ids_keep_every_distinct_text(spark):
+    r = rng(5)
+    a, b, c = (words(r, 40) for _ in range(3))
+    kept = S.drop_near_duplicates(documents(spark, [(2, c), (5, a), (5, c), (7, a), (7, b), (7, b)], extra=True))
+    assert sorted((x["doc_id"], x["text"]) for x in kept.collect()) == sorted([(2, c), (5, a), (7, b)])
+    kept = S.drop_near_duplicates(documents(spark, [(None, a), (None, b), (1, b), (None, a), (3, None), (None, "")]))
+    assert sorted(((x["doc_id"], x["text"]) for x in kept.collect()), key=str) == sorted([(None, a), (1, b), (3, None)], key=str)
+
+
 def test_links_are_verified_and_none_is_lost(spark):
     r = rng(12)
     rows, i = [], 0
@@ -144,3 +153,21 @@ def test_large_groups_are_compared_by_chunks(spark):
     rows = [(k, " ".join(w[:k] + [f"edit{k}"] + w[k + 1 :])) for k in range(40)]
     got = S.verified_classes(documents(spark, rows), words=5, lanes=4, max_diff=48, tables=48, similarity=0.8, id_col="doc_id", text_col="text", bucket=8).collect()
     assert sorted((x["id"], x["component_id"]) for x in got) == [(k, 0) for k in range(40)]
+
+
+def test_parts_of_a_large_group_are_told_apart(spark):
+    """A group of candidates, chunked, that holds several classes and single texts: the rest is compared with all chunks."""
+    nodes = [(bytes([k]), k // 10 if k < 45 else k) for k in range(60)]
+    members = spark.createDataFrame([(1, bytearray(n), c, 1) for n, c in nodes], "grp int, node binary, class int, weight int")
+
+    def search(dealt):
+        def run(pdf):
+            rows = [(x["node"].iloc[0], n) for _, x in pdf.groupby("class") for n in x["node"].iloc[1:]]
+            return __import__("pandas").DataFrame(rows, columns=["a", "b"])
+
+        return dealt.groupBy("grp", "c0", "c1").applyInPandas(run, "a binary, b binary")
+
+    _, classes = S.chunked_links(members, ["grp"], search, None, most=6, heaviest=1000)
+    got = {bytes(x["node"]): bytes(x["component"]) for x in classes.collect()}
+    want = {n: min(m for m, d in nodes if d == c) for n, c in nodes}
+    assert {n: got.get(n, n) for n, _ in nodes} == want
