@@ -5,8 +5,8 @@ those that training text wrote in that script; each candidate scores the word by
 Viterbi pass over the words of the whole text, with a penalty for each switch, labels spans of one language. The
 document's language is the one whose spans hold most letters.
 
-The model is fitted on a bounded sample of labelled rows: at most about ``sample_per_lang`` texts a language (chosen by
-a hash of the id; everything where a language has fewer). Prediction reads the whole text of every row.
+The model is fitted on a bounded sample of labelled rows: at most about ``sample_per_lang`` distinct texts a language
+(chosen by a hash of the text; everything where a language has fewer). Prediction reads the whole text of every row.
 
 Defined results: a null text and one without any letter give ``und`` with score 0; with no labelled rows at all, so
 does every text. Ties go to the language first in code point order. Repeated rows are repeated; an empty table gives an
@@ -237,24 +237,25 @@ def train(
     text_col: str = "text",
     lang_col: str = "lang",
     where: Column | None = None,
-    hash_col: str = "doc_id",
     sample_per_lang: int = 1500,
     switch_penalty: float = 8.0,
 ) -> LanguageModel:
-    """Fit on at most about ``sample_per_lang`` labelled texts of each language among rows that satisfy ``where``.
+    """Fit on at most about ``sample_per_lang`` distinct labelled texts of each language among rows that satisfy ``where``.
 
     The counts of n-gram buckets are summed on the executors; the driver gets ``BUCKETS`` counts a language at most.
     """
     bound_arrow_batches(docs.sparkSession)
     rows = docs if where is None else docs.where(where)
-    rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r["l"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n")).collect()}
+    rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("l"), F.col(text_col).cast("string").alias("t"))
+    own = F.xxhash64("t", F.lit("langid"))
+    distinct = rows.select("l", own.alias("h")).distinct()
+    sizes = {r["l"]: r["n"] for r in distinct.groupBy("l").agg(F.count("*").alias("n")).collect()}
     languages = tuple(sorted(sizes))
     if not languages:
         return LanguageModel((), np.zeros((BUCKETS + 1, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool), switch_penalty)
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, sample_per_lang / sizes[k])))])
-    drawn = F.pmod(F.xxhash64(F.col(hash_col).cast("string"), F.lit("langid")), F.lit(1 << 20)) < share[F.col(lang_col)] * (1 << 20)
-    sample = rows.where(drawn).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+    drawn = F.pmod(own, F.lit(1 << 40)) < share[F.col("l")] * (1 << 40)
+    sample = rows.where(drawn).dropDuplicates(["l", "t"])
     index = {k: i for i, k in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

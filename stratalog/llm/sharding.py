@@ -1,12 +1,13 @@
 """Proportional stratified interleaving into shards (DataFrame operations only).
 
-Rows of a source are ranked in a seeded shuffle; rank r of n stands at the fraction (2r - 1) / 2n. In the order of these
-fractions every stretch holds the sources in the proportions of the whole, so cutting it into equal runs gives shards that
-each match the mixture, with row counts at most one apart.
+Rows of a source are ranked in a seeded shuffle; rank r of n stands at the fraction (r - 1 + u) / n, where u, in [0, 1), is
+a seeded draw of the source. In the order of these fractions every stretch holds the sources in the proportions of the
+whole, so cutting it into equal runs gives shards that each match the mixture, with row counts at most one apart. The draw
+lets sources of a few rows, which have no more than a few fractions, fall evenly over all shards.
 
 No source is ranked by one task: a rank is the number of rows in the source's earlier hash buckets plus the place in its
-own bucket, and the global place is found alike over buckets of the fraction, which every source fills evenly. Both bucket
-counts follow the number of rows.
+own bucket, and the global place is found alike over buckets of the fraction, which the sources fill evenly. Buckets and
+their rows both grow with the square root of the number of rows, so neither a bucket nor the list of buckets gets large.
 
 Defined results: a null text has no bytes; a null source is a source of its own; a null id is hashed as empty; rows equal
 in id and text are interchangeable; an empty table gives an empty result; extra columns are not read.
@@ -14,20 +15,27 @@ in id and text are interchangeable; an empty table gives an empty result; extra
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, utf8_crc32
 from .mixing import BITS, source_key, uniform_hash
 
-#: Rows that one window partition sorts, on average.
-BUCKET_ROWS = 10_000
+#: Fewest rows that one window partition sorts, on average.
+BUCKET_ROWS = 1000
 
 
 def document_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long")
 
 
+def source_draw(skey: Column, seed: str) -> Column:
+    """The source's seeded draw in [0, 1), a multiple of 2^-20."""
+    return F.shiftright(uniform_hash(skey, seed + ":source"), BITS - 20) / F.lit(float(1 << 20))
+
+
 def interleave(docs: DataFrame, *, shards: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "shard", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``(id, source, size, text_crc32, shard, slot)`` for every row; slots of a shard run from 0 without gaps."""
     rows = docs.select(
@@ -41,6 +49,7 @@ def interleave(docs: DataFrame, *, shards: int, id_col: str = "doc_id", text_col
     total, most = (
         rows.groupBy("skey").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     )
+    bucket_rows = max(bucket_rows, isqrt(total))
     bits = max(0, (most // bucket_rows).bit_length())
     spread = max(1, total // bucket_rows)
     rows = rows.withColumn("b", F.shiftright("h", BITS - bits))
@@ -54,13 +63,9 @@ def interleave(docs: DataFrame, *, shards: int, id_col: str = "doc_id", text_col
     ranked = (
         rows.withColumn("place", place)
         .join(offsets, ["skey", "b"])
-        .withColumn("odd", 2 * (F.col("earlier") + F.col("place")) - 1)
-        .select(
-            "id", "source", "skey", "size", "crc", "h",
-            F.expr(f"odd * {spread}L div (2 * of)").alias("g"),
-            (F.col("odd").cast("double") / (2 * F.col("of")).cast("double")).alias("fraction"),
-        )
-    )
+        .withColumn("fraction", (F.col("earlier") + F.col("place") - 1 + source_draw(F.col("skey"), seed)) / F.col("of"))
+        .select("id", "source", "skey", "size", "crc", "h", "fraction", F.floor(F.col("fraction") * spread).alias("g"))
+    )
     ranked = checkpointed(ranked)
     starts = ranked.groupBy("g").agg(F.count("*").alias("n")).select("g", (F.sum("n").over(Window.orderBy("g")) - F.col("n")).alias("start"))
     inside = F.row_number().over(Window.partitionBy("g").orderBy("fraction", "skey", "h", "id", "crc", "size"))

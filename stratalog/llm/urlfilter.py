@@ -3,7 +3,7 @@
 A rule ``host/path`` fits its host and all subdomains where the url's path starts with the rule's; the longest rule that
 fits decides (of equal ones, allow). Urls without a rule follow their aliases: pages are nodes (host, path and query, so
 that the scheme, the fragment and tracking parameters make no difference), redirects and canonical links are edges, and a
-block decided by a rule anywhere in a connected component blocks every member that no rule allows explicitly. All else is
+block decided by a rule anywhere in a connected component (on a page's path, or on a node's, where an empty path is ``/``) blocks every member that no rule allows explicitly. All else is
 allowed. An allowed member stops no block of others; it only keeps its own verdict.
 
 Edges come from ``<link rel=canonical href>`` and ``<meta http-equiv=refresh>`` of the pages, resolved against the page's
@@ -111,13 +111,14 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, *,
     ).withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
     ruled = checkpointed(
         named.join(members, "node", "left").select(
-            "id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.action").alias("action"), F.coalesce("component", "node").alias("cls")
+            "id", "host", "path", "node", F.col("found.rule").alias("rule"), F.col("found.action").alias("action"), F.coalesce("component", "node").alias("cls")
         )
     )
-    # a link may lead to a url that is no page of the table: rules judge it all the same
+    # a rule on a node blocks its aliases, whether or not the node is a page of the table or has a link of its own
     as_url = F.concat(F.lit("x://"), "node")
-    outside = members.where(rule_of(host_of(as_url), path_of(as_url), rules)["action"] == "block").select(F.col("component").alias("cls"))
-    blocked = ruled.where("action = 'block' and cls is not null").select("cls").unionByName(outside).distinct().withColumn("hit", F.lit(True))
+    blocks = rule_of(host_of(as_url), path_of(as_url), rules)["action"] == "block"
+    by_node = members.where(blocks).select(F.col("component").alias("cls")).unionByName(ruled.where("action is null").select("node", "cls").where(blocks).select("cls"))
+    blocked = ruled.where("action = 'block' and cls is not null").select("cls").unionByName(by_node).distinct().withColumn("hit", F.lit(True))
     # a url in a class of blocked aliases is rare: only undecided rows are joined
     decided = ruled.where("action is not null").select("id", "host", "path", "rule", F.col("action").alias("verdict"), F.lit("rule").alias("reason"))
     open_ = ruled.where("action is null").join(blocked, "cls", "left")
@@ -157,7 +158,9 @@ reach(node, other) AS (
   UNION SELECT reach.node, both_ways.dst FROM reach JOIN both_ways ON reach.other = both_ways.src),
 target AS (SELECT DISTINCT dst, regexp_extract(dst, '^[^/?]*') AS host, regexp_extract(dst, '^[^/?]*([^?]*)', 1) AS path FROM both_ways),
 judged AS (SELECT dst, arg_max(action, length(rhost || rpath)) AS action FROM target JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY dst),
-bad AS (SELECT reach.node FROM reach JOIN j ON reach.other = j.node WHERE j.action = 'block' UNION SELECT reach.node FROM reach JOIN judged ON reach.other = judged.dst WHERE judged.action = 'block')
+own AS (SELECT DISTINCT node, regexp_extract(node, '^[^/?]*') AS host, regexp_extract(node, '^[^/?]*([^?]*)', 1) AS path FROM j WHERE action IS NULL),
+own_judged AS (SELECT node, arg_max(action, length(rhost || rpath)) AS action FROM own JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY node),
+bad AS (SELECT reach.node FROM reach JOIN j ON reach.other = j.node WHERE j.action = 'block' UNION SELECT reach.node FROM reach JOIN own_judged ON reach.other = own_judged.node WHERE own_judged.action = 'block' UNION SELECT reach.node FROM reach JOIN judged ON reach.other = judged.dst WHERE judged.action = 'block')
 SELECT j.page_id, j.host, j.path, j.rule,
        CASE WHEN action IS NOT NULL THEN action WHEN bad.node IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
        CASE WHEN action IS NOT NULL THEN 'rule' WHEN bad.node IS NOT NULL THEN 'alias' ELSE 'default' END AS reason

@@ -60,3 +60,65 @@ def test_filter_keeps_columns_and_no_labels(spark, model):
     assert kept.columns == df.columns and [x["doc_id"] for x in kept.collect()] == [1]
     blank = L.train(documents(spark, [(1, "text", None), (2, None, "aa")]))
     assert [x["lang_pred"] for x in L.identify(df, blank).collect()] == ["und"] * 3
+
+
+def brute_prediction(model, text):
+    """Language and score of a text by the definition: plain n-grams of each word, then every best path step by step."""
+    names = L.SCRIPT_NAMES
+    script_of = lambda c: next(n for s, n in reversed(L.SCRIPTS) if s <= ord(c))
+    runs, word = [], ""
+    for c in (text or "") + " ":
+        if c.isalpha():
+            word += c
+        elif word:
+            runs.append(word)
+            word = ""
+    scores = []
+    for w in runs:
+        low = [0, *(ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in w), 0]
+        total = np.zeros(len(model.languages))
+        for n in L.ORDERS:
+            for k in range(len(low) - n + 1):
+                h = 0
+                for x in low[k : k + n]:
+                    h = (h * 0x100000001B3 + x) % 2**64
+                total += model.weights[h * 0x9E3779B97F4A7C15 % 2**64 >> 48]
+        can = np.any([model.allowed[names.index(script_of(c))] for c in w], axis=0)
+        total = np.maximum(total - total.max(), -30)
+        scores.append(np.where(can, total, -60.0) if can.any() else total * 0)
+    if not runs:
+        return "und", 0.0, 0.0
+    best, back = scores[0], []
+    for s in scores[1:]:
+        stay = best >= best.max() - model.switch_penalty
+        back.append([j if stay[j] else int(best.argmax()) for j in range(len(best))])
+        best = np.maximum(best, best.max() - model.switch_penalty) + s
+    path = [int(best.argmax())]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    held = np.zeros(len(model.languages))
+    for w, at in zip(runs, reversed(path), strict=True):
+        held[at] += len(w)
+    second = np.sort(held)[-2]
+    return model.languages[int(held.argmax())], held.max() / held.sum(), second / held.sum()
+
+
+def test_predictions_against_brute_force(spark, model):
+    r = rng(21)
+    rows = []
+    for i in range(120):
+        text = " ".join(sentence(r, r.choice(["aa", "bb", "cc"]), r.randint(1, 12)) for _ in range(r.randint(0, 5)))
+        rows.append((i, "".join(c.upper() if r.random() < 0.1 else r.choice("- 1é漢") if r.random() < 0.05 else c for c in text)))
+    found = {x["doc_id"]: x for x in L.identify(documents(spark, rows), model).collect()}
+    for i, text in rows:
+        lang, score, second = brute_prediction(model, text)
+        assert abs(found[i]["lang_score"] - score) < 1e-6 and (found[i]["lang_pred"] == lang or score == second), text
+
+
+def test_copies_of_one_text_still_teach_their_language(spark):
+    r = rng(22)
+    rows = [(7, sentence(r, "aa"), "aa")] * 40 + [(i, sentence(r, "bb"), "bb") for i in range(60)]
+    model = L.train(documents(spark, rows), sample_per_lang=5)
+    assert model.languages == ("aa", "bb")
+    got = {x["doc_id"]: x["lang_pred"] for x in L.identify(documents(spark, [(1, rows[0][1]), (2, rows[50][1])]), model).collect()}
+    assert got == {1: "aa", 2: "bb"}

@@ -98,7 +98,8 @@ def brute_places(rows, shards):
         total[r[0]] = total.get(r[0], 0) + 1
     for r in sorted(rows):
         seen[r[0]] = seen.get(r[0], 0) + 1
-        ranked.append(((2 * seen[r[0]] - 1) / (2 * total[r[0]]), *r))
+        draw = (int(hashlib.md5(f"shard:source:{r[0]}".encode()).hexdigest()[:15], 16) >> 40) / (1 << 20)
+        ranked.append(((seen[r[0]] - 1 + draw) / total[r[0]], *r))
     ranked.sort()
     n, out = len(ranked), []
     for at, r in enumerate(ranked):
@@ -113,3 +114,12 @@ def test_places_against_brute_force(spark):
         got = H.interleave(documents(spark, rows), shards=24, bucket_rows=bucket_rows).collect()
         assert sorted((x["id"], x["size"], x["text_crc32"], x["shard"], x["slot"]) for x in got) == brute_places(rows, 24)
     assert H.interleave(documents(spark, []), shards=24).count() == 0
+
+
+def test_sources_of_one_row_fall_over_all_shards(spark):
+    rows = [(i, "a", "en", f"only{i}") for i in range(240)] + [(1000 + i, "b", "en", "large") for i in range(240)]
+    got = H.interleave(documents(spark, rows), shards=12, bucket_rows=20).collect()
+    small = [0] * 12
+    for x in got:
+        small[x["shard"]] += x["source"] != "large"
+    assert sum(small) == 240 and min(small) >= 8 and max(small) <= 32

@@ -43,6 +43,13 @@ def test_rules_hosts_and_paths(spark):
     assert got[10] == ("deep.net", "", None, "block", "alias")
 
 
+def test_a_host_without_path_is_its_root(spark):
+    got = verdicts(U.judge(pages(spark, [(1, "https://deep.net", None), (2, "http://other.org", None), (3, "x://example.net?a=1", link("https://fine.org/"))])))
+    assert got[1] == ("deep.net", "", None, "block", "alias")
+    assert got[2] == ("other.org", "", None, "allow", "default")
+    assert got[3] == ("example.net", "", None, "block", "alias")
+
+
 def test_blocks_spread_over_links_and_allow_keeps_precedence(spark):
     rows = [
         (1, "https://bad.net/a", None),
