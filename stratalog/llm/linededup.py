@@ -3,7 +3,8 @@
 Every line gets a HyperLogLog sketch of the sites it stands on; sketches merge by aggregation, so a line that stands in a
 third of all documents costs one sketch a task. Lines whose estimate is clear of the threshold are decided by it; lines
 within the sketch's error of the threshold get an exact distinct count. Removed are lines of at least ``min_chars``
-characters (outer blanks stripped) on ``min_sites`` sites or more.
+characters (outer blanks stripped) on ``min_sites`` sites or more; shorter lines (brackets, rules, single words) stay, since
+they say too little to be told from ordinary text. ``min_chars=1`` judges every line that is not blank.
 
 Defined results: a null text has no lines and stays null; a null site is a site of its own; a document of boilerplate alone
 becomes an empty text; repeated rows are repeated and count once a site; an empty table gives an empty result; extra columns
@@ -17,7 +18,7 @@ from math import ceil, floor, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, salted_join
 
 MIN_SITES = 10
 MIN_CHARS = 20
@@ -68,7 +69,10 @@ def remove_spread_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
         slim.select("id", key.alias("key"), F.explode(F.array_distinct(_lines(F.col("text")))).alias("line"))
         .where(F.length(line) >= min_chars)
         .select("id", "key", _hash(line)[0].alias("h1"), _hash(line)[1].alias("h2"))
-        .join(gone, ["h1", "h2"])
+    )
+    # few lines are spread and one of them may stand in a third of all documents
+    hits = (
+        salted_join(hits, gone, ["h1", "h2"], F.col("key"))
         .groupBy("id", "key")
         .agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
         .withColumnRenamed("id", "of")

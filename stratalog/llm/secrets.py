@@ -2,7 +2,8 @@
 
 Three base kinds are found by pattern in the whole text. Their values, and further credential-shaped strings that stand
 without a keyword, are candidates; hashes of the candidates are aggregated over the corpus by distinct repository and
-owner. A value seen under few owners is owner-specific and looks live; one that many owners share is a copied example.
+owner. A value seen under few owners, and in few repositories of theirs, is owner-specific and looks live; one that many
+owners share, or that stands in many repositories (an owner's template or vendored copy), is a copied example.
 The method adds the spans of credential-shaped strings that are owner-specific (kind ``owned``); base spans stay whatever
 their frequency, with a verdict of their own.
 
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_arrow_batches, checkpointed
+from .common import bound_arrow_batches, checkpointed, salted_join
 
 KINDS = ("assign", "access", "hex")
 OWNED = "owned"
@@ -33,6 +34,8 @@ ASSIGN_HINT = re.compile(rb"(?:passw|secret|token|api)", re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A value under at most this many owners is owner-specific.
 MAX_OWNERS = 2
+#: ... and in at most this many repositories.
+MAX_REPOSITORIES = 5
 _IS_HEX = np.zeros(256, dtype=bool)
 _IS_HEX[[*b"0123456789abcdef"]] = True
 _IS_SHAPED = np.zeros(256, dtype=bool)
@@ -121,21 +124,18 @@ def ownership(rows: DataFrame) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """``(id, spans)`` for every row: base and owned spans in order, each ``(start, end, kind, verdict, owners)``.
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """``(id, spans)`` for every row: base and owned spans in order, each ``(start, end, kind, verdict, owners, repositories)``.
 
-    ``verdict`` is live where the value is owner-specific, else example. Only rows with candidates are joined; a value that
-    a third of all rows hold meets one row of the ownership table in partitions that adaptive execution may split.
+    ``verdict`` is live where the value is owner-specific, else example. Only rows with candidates are joined, and a value
+    that a third of all rows hold is dealt over several tasks.
     """
     rows = checkpointed(candidate_spans(docs, id_col=id_col, text_col=text_col, source_col=source_col).withColumn("row", F.monotonically_increasing_id()))
     counted = ownership(rows)
-    spans = (
-        rows.select("row", F.explode("spans").alias("s"))
-        .select("row", "s.*")
-        .join(counted, "value_hash")
-        .withColumn("verdict", F.when(F.col("owners") <= max_owners, F.lit("live")).otherwise(F.lit("example")))
-        .where((F.col("kind") != OWNED) | (F.col("verdict") == "live"))
-    )
+    example = (F.col("owners") > max_owners) | (F.col("repositories") > max_repositories)
+    counted = counted.withColumn("verdict", F.when(example, F.lit("example")).otherwise(F.lit("live")))
+    held = rows.select("row", F.explode("spans").alias("s")).select("row", "s.*")
+    spans = salted_join(held, counted, ["value_hash"], F.col("row")).where((F.col("kind") != OWNED) | (F.col("verdict") == "live"))
     rank = F.array_position(F.array(*(F.lit(k) for k in (*KINDS, OWNED))), F.col("kind"))
-    listed = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind", "verdict", "owners"))).alias("found"))
+    listed = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind", "verdict", "owners", "repositories"))).alias("found"))
     return rows.select("row", "id").join(listed, "row", "left").select("id", F.coalesce("found", F.array()).alias("spans"))

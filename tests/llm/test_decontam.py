@@ -19,7 +19,7 @@ def brute(docs, items, t=0.8, k=5):
     return out
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     r = rng(3)
     items = [(i, words(r, r.randint(1, 60))) for i in range(30)] + [(30, None), (31, ""), (32, "One TWO"), (33, "a b a b a b a b a b")]
     docs = []
@@ -36,8 +36,10 @@ def test_against_brute_force(spark):
         docs.append((d, ("\n" if d % 3 else "  ").join(body)))
     docs += [(100, None), (101, ""), (102, "x one two y"), (102, "x one two y"), (103, "a b a b a b a b a b a b")]
     table = spark.createDataFrame(items, "item_id long, text string")
-    for block_words in (10**6, 100):
-        found = D.contaminated_pairs(documents(spark, docs, extra=True), table, block_words=block_words).collect()
+    for bloom_bits in (D.BLOOM_BITS, 1 << 10):  # a filter that is full still loses nothing
+        monkeypatch.setattr(D, "BLOOM_BITS", bloom_bits)
+        found = D.contaminated_pairs(documents(spark, docs, extra=True), table).collect()
+        assert sum(x["doc_id"] == 102 for x in found) == 2
         assert {(x["doc_id"], x["item_id"], x["shingles"], x["item_shingles"]) for x in found} == brute(docs, items)
     clean = D.drop_contaminated(documents(spark, docs, extra=True), table)
     assert clean.columns == documents(spark, docs, extra=True).columns
@@ -54,3 +56,12 @@ def test_short_item_in_a_very_long_text_and_empty_sides(spark):
     assert [(x["doc_id"], x["item_id"], x["containment"]) for x in found] == [(1, 7, 1.0)]
     assert D.contaminated_pairs(documents(spark, []), items).count() == 0
     assert D.contaminated_pairs(documents(spark, [(1, text)]), items.limit(0)).count() == 0
+
+
+def test_repeated_ids_are_judged_by_text(spark):
+    r = rng(6)
+    item = words(r, 20)
+    docs = documents(spark, [(1, item), (1, words(r, 30)), (None, f"x {item}"), (None, "clean"), (2, None)])
+    items = spark.createDataFrame([(7, item), (7, "other words here"), (None, item)], "item_id long, text string")
+    assert sorted((x["doc_id"] or 0, x["item_id"] or 0) for x in D.contaminated_pairs(docs, items).collect()) == [(0, 0), (0, 7), (1, 0), (1, 7)]
+    assert sorted((x["doc_id"] or 0, (x["text"] or "")[:5] == item[:5]) for x in D.drop_contaminated(docs, items).collect()) == [(0, False), (1, False), (2, False)]

@@ -47,3 +47,32 @@ def test_clean_prose_and_long_texts_have_no_spans(spark):
     rows = [(1, words(r, 2000)), (2, "word " * 200_000 + "token=abcdef1"), (3, "supercalifragilisticexpialidocious-and-more")]
     got = {x["id"]: x["spans"] for x in S.scan(documents(spark, rows)).collect()}
     assert got[1] == got[3] == [] and [(s["kind"], s["start"]) for s in got[2]] == [("assign", 1_000_000)]
+
+
+def test_ownership_against_brute_force(spark):
+    r = rng(7)
+    values = ["".join(r.choices("ABCDEFGHKLMabcdefghkm", k=14)) + "".join(r.choices("0123456789", k=8)) for _ in range(12)]
+    rows = []
+    for i in range(200):
+        text = " ".join([words(r, 3), r.choice(values), words(r, 2), *(f"token={v}" for v in r.sample(values, r.choice([0, 0, 1])))])
+        source = r.choice([None, "", "alone", *(f"owner{k}/repo{r.randint(0, 9)}" for k in range(4))])
+        at = values.index(next(v for v in values if v in text))
+        rows.append((i, text, "en", source if at > 5 else f"one/{r.randint(0, 3 * at)}"))
+    seen = {v: (set(), set()) for v in values}
+    for _, text, _, source in rows:
+        for v in values:
+            if v in text:
+                seen[v][0].add((source or "").split("/")[0])
+                seen[v][1].add(source or "")
+    verdict = {v: "example" if len(o) > S.MAX_OWNERS or len(p) > S.MAX_REPOSITORIES else "live" for v, (o, p) in seen.items()}
+    assert {(len(o) > S.MAX_OWNERS, verdict[v]) for v, (o, _) in seen.items()} == {(True, "example"), (False, "example"), (False, "live")}
+    got = {x["id"]: x["spans"] for x in S.scan(documents(spark, rows, extra=True)).collect()}
+    for i, text, _, _ in rows:
+        want = []
+        for v in values:
+            for m in re.finditer(re.escape(v), text):
+                if text[: m.start()].endswith("token="):
+                    want.append((m.start() - 6, m.end(), "assign", verdict[v], len(seen[v][0]), len(seen[v][1])))
+                elif verdict[v] == "live":
+                    want.append((m.start(), m.end(), "owned", "live", len(seen[v][0]), len(seen[v][1])))
+        assert [(s["start"], s["end"], s["kind"], s["verdict"], s["owners"], s["repositories"]) for s in got[i]] == sorted(want)
