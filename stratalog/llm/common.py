@@ -120,6 +120,15 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     )
 
 
+#: Rows of two or three numbers or short strings that may be broadcast (about 50 MB).
+BROADCAST_ROWS = 500_000
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """A narrow table, to be broadcast if it has at most :data:`BROADCAST_ROWS` rows (they are counted), else joined by shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: Column, how: str = "inner", salts: int = 16) -> DataFrame:
     """Equi-join in which a key's rows of ``left`` meet ``salts`` copies of its rows of ``right``.
 

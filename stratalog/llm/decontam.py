@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_arrow_batches, checkpointed, fresh_name, salted_join
+from .common import bound_arrow_batches, checkpointed, fresh_name, salted_join, sized
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -235,7 +235,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "tex
     if found is None:
         return docs
     key = fresh_name(docs, "hit_text")
-    return docs.join(checkpointed(found.select(F.col("text_key").alias(key)).distinct()), own == F.col(key), "left_anti")
+    return docs.join(sized(checkpointed(found.select(F.col("text_key").alias(key)).distinct())), own == F.col(key), "left_anti")
 
 
 DECONTAM_SQL = r"""

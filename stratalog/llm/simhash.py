@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gray
-from .common import bound_arrow_batches, checkpointed, connected_components, fresh_name, salted_join
+from .common import bound_arrow_batches, checkpointed, connected_components, fresh_name, salted_join, sized
 
 BUCKET = 2048
 #: Members of a chunked group that every chunk sees.
@@ -236,8 +236,12 @@ def _search(limit: int, lanes: int, most: int | None):
     return run
 
 
-def near_links(distinct: DataFrame, *, lanes: int, max_diff: int, tables: list, bucket: int = BUCKET) -> DataFrame:
-    """Links ``(a, b)`` between distinct fingerprints (structs of lanes) whose transitive closure joins all near pairs."""
+def near_links(distinct: DataFrame, *, lanes: int, max_diff: int, tables: list, bucket: int = BUCKET, settle: bool = True) -> DataFrame:
+    """Links ``(a, b)`` between distinct fingerprints (structs of lanes) whose transitive closure joins all near pairs of a bucket.
+
+    Without ``settle`` a bucket that was set aside is searched in chunks that share leaders and no further, which suits
+    candidates that have another way to meet.
+    """
     names = lane_names(lanes)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,18 +268,18 @@ def near_links(distinct: DataFrame, *, lanes: int, max_diff: int, tables: list,
         found = dealt.select(*by, *names).repartition(*by).sortWithinPartitions(*by).mapInArrow(_search(max_diff, lanes, None), _schema(lanes))
         return found.select(F.struct(*names).alias("a"), F.struct(*(F.col(f"to_{n}").alias(n) for n in names)).alias("b"))
 
-    return chunked_links(members, ["tbl", "key"], search, links, most=bucket, heaviest=bucket)[0]
+    return chunked_links(members, ["tbl", "key"], search, links, most=bucket, heaviest=bucket, settle=settle)[0]
 
 
-def chunked_links(members: DataFrame, by: list[str], search: Callable[[DataFrame], DataFrame], links: DataFrame | None, *, most: int, heaviest: int) -> tuple[DataFrame, DataFrame]:
-    """Links within groups of any size, and the components ``(node, component)`` of all links.
+def chunked_links(members: DataFrame, by: list[str], search: Callable[[DataFrame], DataFrame], links: DataFrame | None, *, most: int, heaviest: int, settle: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """Links within groups of any size, and the components ``(node, component)`` of all links (None without ``settle``).
 
     ``members`` has the columns ``by``, ``node`` and ``weight`` (and what ``search`` reads); a group is dealt by hash into
     chunks of about ``most`` members and ``heaviest`` weight. ``search`` links the rows that share ``(*by, c0, c1)`` to a
     spanning forest of their near pairs. First every chunk is searched by itself, together with the group's leaders. What
     is then in the group's largest component need not be compared any more; the rest (usually nothing, or a few rows) is
     compared with every chunk. So no near pair is left unlinked, and the rows dealt grow with the group, not with its
-    square, unless the group falls into many parts.
+    square, unless the group falls into many parts. Without ``settle`` the second step is left out.
     """
     sizes = members.groupBy(*by).agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
     chunks = F.greatest(F.ceil(F.col("n") / F.lit(most)), F.ceil(F.col("w") / F.lit(heaviest))).cast("int")
@@ -287,7 +291,10 @@ def chunked_links(members: DataFrame, by: list[str], search: Callable[[DataFrame
     leads = F.coalesce(F.pmod(F.xxhash64("node", F.lit("leader")), F.col("one_of")) == 0, F.lit(False))
     everywhere = F.sequence(F.lit(0), F.col("chunks") - 1)
     found = search(placed.withColumn("c0", F.explode(F.when(leads, everywhere).otherwise(alone))).withColumn("c1", F.lit(-1)))
-    found = checkpointed(found if links is None else links.unionByName(found))
+    found = found if links is None else links.unionByName(found)
+    if not settle:
+        return found, None
+    found = checkpointed(found)
     classes = connected_components(found, "a", "b")
     if large.isEmpty():
         return found, classes
@@ -417,7 +424,9 @@ def verified_classes(docs: DataFrame, *, words: int, lanes: int, max_diff: int,
     groups = _candidate_groups(nodes, lanes, max_diff, tables)
     vertex = F.struct("least.none", "least.id", "least.text_key", F.col("node").alias("node"))
     members = checkpointed(nodes.select(vertex.alias("node"), "weight", "v").join(groups, "v").select("grp", "node", "weight"))
-    texts = slim.groupBy("text_key").agg(F.first("t").alias("t"))  # one row a text: equal ones are combined before the shuffle
+    # one row a text that is in a group: equal ones are combined before the shuffle
+    wanted = sized(checkpointed(members.select("node.text_key").distinct()))
+    texts = slim.join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.first("t").alias("t"))
     point = f"struct<none: boolean, id: {kind}, text_key: string, node: binary>"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,7 +484,7 @@ def _candidate_groups(nodes: DataFrame, lanes: int, max_diff: int, tables: int)
     prints = checkpointed(nodes.groupBy(*names).agg(F.min("v").alias("lead")))
     same = nodes.join(prints, names).select(F.col("v").alias("a"), F.col("lead").alias("b")).where("a != b")
     picked = sampled_tables(lanes, tables, key_bytes(prints.count()))
-    hits = near_links(prints, lanes=lanes, max_diff=max_diff, tables=picked)
+    hits = near_links(prints, lanes=lanes, max_diff=max_diff, tables=picked, settle=False)
     named = prints.select(F.struct(*names).alias("fp"), "lead")
     tabled = hits.join(named.withColumnsRenamed({"fp": "a", "lead": "va"}), "a").join(named.withColumnsRenamed({"fp": "b", "lead": "vb"}), "b").select(F.col("va").alias("a"), F.col("vb").alias("b"))
     banded = nodes.select(F.explode("bands").alias("key"), "v").repartition("key").sortWithinPartitions("key", "v").mapInArrow(runs, "a long, b long")
@@ -497,7 +506,7 @@ def drop_near_duplicates(docs: DataFrame, *, words: int = 5, lanes: int = 4, max
     key, text_key = fresh_name(docs, "near_id"), fresh_name(docs, "near_text")
     row = [F.col("id").alias(key), F.col("text_key").alias(text_key)]
     own = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
-    gone = classes.where("not kept").select(*row).distinct()
+    gone = sized(checkpointed(classes.where("not kept").select(*row).distinct()))
     repeated = classes.where("kept").groupBy("id", "text_key").count().where("count > 1").select(*row)
     fits = lambda left: left[id_col].eqNullSafe(F.col(key)) & (own == F.col(text_key))
     kept = docs.join(gone, fits(docs), "left_anti")
