@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codec import entry_hex, hash_pair, leaf_hash
-from ..functions.keys import SHARDS, TWIG_SHIFT, TWIG_SIZE, leaf_of, twig_of
-from ..functions.nulltree import FIRST_LEVEL_ABOVE_TWIG, NULL_LEAF, NULL_TWIG, NULL_UPPER
+from ..functions.codec import entry_hex, hash_pair, leaf_hash, read_le
+from ..functions.keys import SHARDS, TWIG_SHIFT, TWIG_SIZE, leaf_of, little_endian, twig_of
+from ..functions.nulltree import FIRST_LEVEL_ABOVE_TWIG, NULL_BITS, NULL_LEAF, NULL_TWIG, NULL_UPPER
 from .versions import with_active
 
 
@@ -69,10 +69,39 @@ def twigs(leaves: DataFrame) -> DataFrame:
     )
 
 
-def upper_nodes(trees: DataFrame) -> DataFrame:
+def left_roots(leaves: DataFrame) -> DataFrame:
+    """``(shard, twig, left_root)`` of the twigs that ``leaves`` of ``(shard, sn, leaf)`` fill from their first row on."""
+    rows = leaves.select("shard", twig_of(F.col("sn")).alias("twig"), leaf_of(F.col("sn")).cast("int").alias("at"), "leaf")
+    out = rows.groupBy("shard", "twig").agg(F.sort_array(F.collect_list(F.struct("at", "leaf"))).alias("rows"))
+    out = out.withColumn("nodes", F.concat(F.transform("rows", lambda r: r["leaf"]), F.array_repeat(F.lit(NULL_LEAF.hex()), F.lit(TWIG_SIZE) - F.size("rows"))))
+    for level in range(TWIG_SHIFT):
+        out = out.withColumn("nodes", _fold(level, F.col("nodes")))
+    return out.select("shard", "twig", F.get("nodes", F.lit(0)).alias("left_root"))
+
+
+def bits_root(bitmap: Column) -> Column:
+    """Root of the three levels over the eight chunks of a twig's bitmap (hex)."""
+    nodes = [F.substring(bitmap, 64 * i + 1, 64) for i in range(8)]
+    for level in (8, 9, 10):
+        nodes = [hash_pair(level, a, b) for a, b in zip(nodes[::2], nodes[1::2], strict=True)]
+    return nodes[0]
+
+
+def twig_root(left_root: Column, bitmap: Column) -> Column:
+    return hash_pair(11, left_root, bits_root(bitmap))
+
+
+def inactive_twig_root(left_root: Column) -> Column:
+    """Root of a twig without active rows, as compaction leaves it."""
+    return hash_pair(11, left_root, F.lit(NULL_BITS[-1].hex()))
+
+
+def upper_nodes(trees: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """``(shard, level, nth, hash, top)`` from the twigs (level 12) to each shard's root, the node 0 of level ``top``.
 
-    A missing right sibling above level 13 counts as the empty subtree of its parent's level, as the format has it.
+    A missing right sibling above level 13 counts as the empty subtree of its parent's level, as the format has it. Where
+    twigs were pruned, ``edges`` of ``(shard, level, nth, hash)`` hold the nodes that their parents are computed from; nodes
+    left of them are not given.
     """
     tops = trees.groupBy("shard").agg((F.length(F.bin(F.max("twig"))) + 12).alias("top"))
     nodes = trees.select("shard", F.lit(12).alias("level"), F.col("twig").alias("nth"), F.col("twig_root").alias("hash")).join(tops, "shard")
@@ -87,10 +116,50 @@ def upper_nodes(trees: DataFrame) -> DataFrame:
             .agg(side(0).alias("left"), F.coalesce(side(1), F.lit(null)).alias("right"))
             .select("shard", F.lit(level).alias("level"), F.col("up").alias("nth"), hash_pair(level - 1, F.col("left"), F.col("right")).alias("hash"), "top")
         )
+        if edges is not None:
+            given = edges.where(F.col("level") == level).join(tops, "shard").select("shard", "level", "nth", "hash", "top")
+            below = below.where("hash is not null")
+            below = below.unionByName(given.join(below.select("shard", "nth"), ["shard", "nth"], "left_anti"))
         everything = everything.unionByName(below)
     return everything
 
 
+def edge_nodes(nodes: DataFrame, ends: DataFrame) -> DataFrame:
+    """``(shard, level, nth, hash)`` of the nodes to keep when the twigs before ``end`` of ``(shard, end)`` go.
+
+    One node a level: the twig ``end`` itself, and above it the node at half of the one below, rounded down to a left child.
+    """
+    nth = F.expr("shiftright(end, level - 12)")
+    wanted = nodes.join(ends, "shard").where(F.col("nth") == F.when(F.col("level") == 12, nth).otherwise(nth - nth % 2))
+    return wanted.select("shard", "level", "nth", "hash")
+
+
+def edge_hex(level: Column, nth: Column, node: Column) -> Column:
+    """Serialised edge node: its packed position (level in the top byte), little-endian, and its hash."""
+    return F.concat(little_endian(F.shiftleft(level.cast("long"), 56).bitwiseOR(nth), 8), node)
+
+
+def parse_edges(text: Column) -> Column:
+    """Array of ``(level, nth, hash)`` from serialised edge nodes; null where the length does not fit."""
+    count = (F.length(text) / 80).cast("int")
+
+    def at(i: Column) -> Column:
+        place = read_le(F.substr(text, 80 * i + 1, F.lit(16)), F.lit(0), 8)
+        node = F.substr(text, 80 * i + 17, F.lit(64))
+        return F.struct(F.shiftrightunsigned(place, 56).cast("int").alias("level"), place.bitwiseAND((1 << 56) - 1).alias("nth"), node.alias("hash"))
+
+    return F.when(F.length(text) % 80 == 0, F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), at)).otherwise(F.array().cast("array<struct<level:int,nth:bigint,hash:string>>")))
+
+
+def tree_diff(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of two trees (twigs or nodes) that differ: the columns ``on``, and ``side`` (left, right or both)."""
+    values = [c for c in left.columns if c not in on]
+    a = left.select(*on, F.struct(*values).alias("a"))
+    b = right.select(*on, F.struct(*values).alias("b"))
+    side = F.when(F.col("b").isNull(), "left").when(F.col("a").isNull(), "right").otherwise("both")
+    return a.join(b, on, "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select(*on, side.alias("side"))
+
+
 def shard_roots(nodes: DataFrame) -> DataFrame:
     return nodes.where((F.col("level") == F.col("top")) & (F.col("nth") == 0)).select("shard", F.col("hash").alias("root"))
 

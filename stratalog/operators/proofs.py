@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.codec import hash_pair
 from ..functions.keys import TWIG_SHIFT, leaf_of, little_endian, twig_of
 from ..functions.nulltree import NULL_TWIG, NULL_UPPER
-from .ordered import bucket_of
+from .ordered import RANGE, ranged
 
 OTHER_HASHES = 17
 
@@ -20,18 +20,26 @@ OTHER_HASHES = 17
 def proof_paths(rows: DataFrame, trees: DataFrame, nodes: DataFrame) -> DataFrame:
     """Proofs for ``rows`` of ``(shard, sn)``: ``(shard, sn, leaf, left, chunk, right, upper, root)``.
 
-    ``left``, ``right`` and ``upper`` are arrays of sibling hashes, lowest level first.
+    ``left``, ``right`` and ``upper`` are arrays of sibling hashes, lowest level first. A row asked for twice is proven once.
     """
     leaf = leaf_of(F.col("sn")).cast("int")
     peer = lambda n: n.bitwiseXOR(F.lit(1))
     asked = rows.select("shard", "sn").withColumn("twig", twig_of(F.col("sn"))).withColumn("at", leaf)
-    inside = asked.join(trees, ["shard", "twig"]).select(
-        "shard", "sn", "twig",
-        F.get(F.get("levels", F.lit(0)), F.col("at")).alias("leaf"),
-        F.array(*(F.get(F.get("levels", F.lit(k)), peer(F.shiftright("at", k))) for k in range(TWIG_SHIFT))).alias("left"),
-        F.get(F.get("bit_levels", F.lit(0)), F.shiftright("at", 8)).alias("chunk"),
-        F.array(*(F.get(F.get("bit_levels", F.lit(k)), peer(F.shiftright("at", 8 + k))) for k in range(3))).alias("right"),
-    )
+    level = lambda name, k: F.get(F.col(name), F.lit(k))
+
+    def path(r: Column) -> Column:
+        at = r["at"]
+        return F.struct(
+            r["sn"].alias("sn"),
+            F.get(level("levels", 0), at).alias("leaf"),
+            F.array(*(F.get(level("levels", k), peer(F.shiftright(at, k))) for k in range(TWIG_SHIFT))).alias("left"),
+            F.get(level("bit_levels", 0), F.shiftright(at, 8)).alias("chunk"),
+            F.array(*(F.get(level("bit_levels", k), peer(F.shiftright(at, 8 + k))) for k in range(3))).alias("right"),
+        )
+
+    # a twig's hashes meet its asked rows once (2048 at most, each serial number once), not once a row
+    by_twig = asked.distinct().groupBy("shard", "twig").agg(F.collect_list(F.struct("sn", "at")).alias("rows"))
+    inside = by_twig.join(trees, ["shard", "twig"]).select("shard", "twig", F.explode(F.transform("rows", path)).alias("p")).select("shard", "twig", "p.*")
     tops = nodes.select("shard", "top").distinct()
     steps = inside.select("shard", "twig").distinct().join(tops, "shard").withColumn("level", F.explode(F.sequence(F.lit(12), F.col("top") - 1)))
     steps = steps.withColumn("nth", F.expr("shiftright(twig, level - 12)").bitwiseXOR(F.lit(1)))
@@ -102,19 +110,19 @@ def verify(paths: DataFrame) -> DataFrame:
     return staged.select("shard", "sn", (root == F.col("root")).alias("valid"), bit.alias("is_active"))
 
 
-def absence_witness(live: DataFrame, keys: DataFrame) -> DataFrame:
+def absence_witness(live: DataFrame, keys: DataFrame, ranges: int | None = None) -> DataFrame:
     """For each key that is not live, the live row whose span (key, next key) covers it.
 
-    Keys and rows are unioned and each key takes the last row before it, within buckets that keep the order; a bucket's
-    opening row comes from the bucket before.
+    Keys and rows are unioned and each key takes the last row before it, within ranges of keys; a range's opening row comes
+    from the ranges before.
     """
     rows = live.select("key", F.struct("key", "next_key", "shard", "sn").alias("w"), F.lit(0).alias("side"))
     asked = keys.select("key").distinct().join(live.select("key"), "key", "left_anti")
     both = rows.unionByName(asked.select("key", F.lit(None).cast(dict(rows.dtypes)["w"]).alias("w"), F.lit(1).alias("side")))
-    both = both.withColumn("bucket", bucket_of(F.col("key")))
-    inner = Window.partitionBy("bucket").orderBy("key", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    outer = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
-    last = both.groupBy("bucket").agg(F.max_by("w", F.when(F.col("side") == 0, F.col("key"))).alias("tail"))
-    carried = last.select("bucket", F.last("tail", ignorenulls=True).over(outer).alias("carried"))
-    found = both.withColumn("w", F.last("w", ignorenulls=True).over(inner)).where("side = 1").join(carried, "bucket")
+    both = ranged(both, ranges=ranges)
+    inner = Window.partitionBy(RANGE).orderBy("key", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    outer = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    last = both.groupBy(RANGE).agg(F.max_by("w", F.when(F.col("side") == 0, F.col("key"))).alias("tail"))
+    carried = last.select(RANGE, F.last("tail", ignorenulls=True).over(outer).alias("carried"))
+    found = both.withColumn("w", F.last("w", ignorenulls=True).over(inner)).where("side = 1").join(carried, RANGE)
     return found.withColumn("w", F.coalesce("w", "carried")).select("key", F.col("w.key").alias("before"), F.col("w.next_key").alias("after"), F.col("w.shard").alias("shard"), F.col("w.sn").alias("sn"))

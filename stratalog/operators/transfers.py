@@ -43,14 +43,14 @@ def independent_transactions(tx: DataFrame) -> DataFrame:
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
         used: set = set()
         keep = []
-        for row in pdf.sort_values("idx").itertuples():
-            fine = row.from_account not in used and row.to_account not in used and row.from_account != row.to_account
-            keep.append((row.Index, fine))
-            if fine:
-                used |= {row.from_account, row.to_account}
-        return pdf.loc[[i for i, fine in keep if fine]]
+        for at, (a, b) in enumerate(zip(pdf["from_account"].tolist(), pdf["to_account"].tolist(), strict=True)):
+            if a != b and a not in used and b not in used:
+                used.update((a, b))
+                keep.append(at)
+        return pdf.iloc[keep]
 
     return tx.groupBy("epoch").applyInPandas(run, tx.schema)
 

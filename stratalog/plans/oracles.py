@@ -13,7 +13,7 @@ CUSTOMERS = """ev AS (
          'order:' || o_orderkey AS value FROM orders)"""
 LW = """lw AS (SELECT height, key, op, value, seq FROM ev QUALIFY row_number() OVER (PARTITION BY height, key ORDER BY seq DESC) = 1)"""
 PROBES = """probe AS (
-  SELECT DISTINCT 'user:' || user_id AS key FROM events WHERE user_id % 3 <> 0 UNION ALL SELECT DISTINCT 'ghost:' || user_id FROM events)"""
+  SELECT DISTINCT 'user:' || user_id AS key FROM events UNION ALL SELECT DISTINCT 'ghost:' || user_id FROM events)"""
 
 
 def state_at(height: str = "1000000") -> str:
@@ -223,10 +223,13 @@ gh AS (SELECT DISTINCT {short('d')} AS key FROM (SELECT sha256('ghost:' || o_ord
 SELECT gh.key, a.key AS before_key, a.next_key AS after_key, a.shard, a.sn FROM gh ASOF JOIN (SELECT * FROM act WHERE active) a ON gh.key >= a.key WHERE gh.key <> a.key"""
 
 _ALL = f", gen AS (SELECT s.s AS shard, n.n AS sn, -1 AS block FROM range(8) s(s), range({TWIG_SIZE}) n(n)), rows AS (SELECT shard, sn, block FROM lg UNION ALL SELECT shard, sn, block FROM gen)"
-_HEIGHTS = _ALL + f""", th AS (SELECT shard::BIGINT AS shard, ((sn >> {TWIG_SHIFT}) + 1)::BIGINT AS twig, block::BIGINT AS start_height FROM rows WHERE sn % {TWIG_SIZE} = {TWIG_SIZE - 1}
+_HEIGHTS = _ALL + f""", th AS (SELECT shard::BIGINT AS shard, ((sn >> {TWIG_SHIFT}) + 1)::BIGINT AS twig, greatest(block, 0)::BIGINT AS start_height FROM rows WHERE sn % {TWIG_SIZE} = {TWIG_SIZE - 1}
 UNION ALL SELECT DISTINCT shard::BIGINT, 0::BIGINT, -1::BIGINT FROM rows)"""
 TWIG_HEIGHTS = log_sql("events") + _HEIGHTS + " SELECT * FROM th"
-PRUNE = log_sql("events") + _HEIGHTS + " SELECT shard, count(*)::BIGINT AS twigs, max(twig) AS last_twig FROM th WHERE start_height >= -1 AND start_height < 20 GROUP BY shard"
+PRUNE = log_sql("events") + _HEIGHTS + f""", yt AS (SELECT shard::BIGINT AS shard, ((max(sn) + 1) >> {TWIG_SHIFT})::BIGINT AS youngest FROM rows GROUP BY shard),
+ok AS (SELECT th.shard, th.twig FROM th JOIN yt ON th.shard = yt.shard WHERE th.twig >= 1 AND th.start_height >= 0 AND th.start_height < 20 AND th.twig < yt.youngest),
+n AS (SELECT shard, twig, row_number() OVER (PARTITION BY shard ORDER BY twig) AS k FROM ok)
+SELECT shard, 0::BIGINT AS first_twig, max(twig) AS end_twig FROM n WHERE twig = k GROUP BY shard"""
 KEPT = log_sql("events") + " SELECT shard, max(sn) + 1 AS next_sn, max(sn) + 1 AS kept FROM lg GROUP BY shard"
 COMPACTION = log_sql("events") + f""", nx AS (SELECT shard, max(sn) + 1 AS next_sn FROM lg GROUP BY shard)
 SELECT a.shard, a.sn AS old_sn, (nx.next_sn + row_number() OVER (PARTITION BY a.shard ORDER BY a.sn) - 1)::BIGINT AS sn, a.key
@@ -234,6 +237,14 @@ FROM act a JOIN nx ON a.shard = nx.shard WHERE a.active AND a.sn >> {TWIG_SHIFT}
 
 _TX = "tx AS (SELECT o_orderkey // 64 AS epoch, o_orderkey AS idx, o_custkey AS f, o_orderkey // 2 AS t, o_orderkey % 3 + 1 AS coin, o_orderkey % 1000 AS amt FROM orders)"
 TX_CONFLICTS = f"WITH {_TX}, a AS (SELECT epoch, f AS account FROM tx UNION ALL SELECT epoch, t FROM tx) SELECT epoch, account, count(*)::BIGINT AS touches FROM a GROUP BY 1, 2 HAVING count(*) > 1"
+TX_INDEPENDENT = f"""WITH RECURSIVE {_TX},
+n AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY idx) AS rn FROM tx),
+g(epoch, rn, idx, fine, used) AS (
+  SELECT DISTINCT epoch, 0::BIGINT, NULL::BIGINT, false, []::BIGINT[] FROM n
+  UNION ALL SELECT epoch, rn, idx, fine, CASE WHEN fine THEN list_concat(used, [f, t]) ELSE used END
+  FROM (SELECT n.epoch, n.rn, n.idx, n.f, n.t, g.used, n.f <> n.t AND NOT list_contains(g.used, n.f) AND NOT list_contains(g.used, n.t) AS fine
+        FROM g JOIN n ON n.epoch = g.epoch AND n.rn = g.rn + 1))
+SELECT tx.epoch, tx.idx, tx.f AS from_account, tx.t AS to_account, tx.coin, tx.amt AS transfer FROM tx JOIN g ON g.epoch = tx.epoch AND g.idx = tx.idx WHERE g.fine"""
 TX_APPLY = f"""WITH {_TX}, ac AS (SELECT c_custkey AS a, c_custkey % 50 AS seq, c_custkey % 40 AS native, c_custkey % 3 + k AS coin, c_custkey % 700 + 100 * k AS amount FROM customer, (VALUES (1), (2)) v(k)),
 j AS (SELECT tx.*, x.amount AS fa, x.native, x.seq, y.amount AS ta,
         CASE WHEN f NOT IN (SELECT c_custkey FROM customer) THEN 'no from-account' WHEN t NOT IN (SELECT c_custkey FROM customer) THEN 'no to-account'

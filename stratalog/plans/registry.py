@@ -12,7 +12,7 @@ from ..functions import keys as K
 from ..lineage import checkpoint_root, shared
 from ..operators import lifecycle, merkle, ordered, overlay, proofs, rabbit, state, transfers, versions
 from ..sources import feeds
-from ..streaming.commit import stream_current_state
+from ..streaming.commit import stream_current_state, streamed_state
 from . import oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,10 +40,9 @@ def order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two users out of three that exist, and as many that don't."""
+    """Every user that exists, and as many that don't."""
     users = feeds.table(spark, sf_dir, "events").select("user_id").distinct()
-    known = users.where("user_id % 3 != 0").select(F.concat(F.lit("user:"), "user_id").alias("key"))
-    return known.unionByName(users.select(F.concat(F.lit("ghost:"), "user_id").alias("key")))
+    return users.select(F.explode(F.array(F.concat(F.lit("user:"), "user_id"), F.concat(F.lit("ghost:"), "user_id"))).alias("key"))
 
 
 # --- key space -----------------------------------------------------------------------------------------------------
@@ -394,10 +393,11 @@ def mt_compaction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracles.PRUNE)
 def mt_prune_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each shard: twigs that begin below block 20, the most that a prune could drop."""
-    log = versions.genesis(spark).unionByName(event_log(spark, sf_dir))
-    heights = lifecycle.twig_heights(log).where("start_height >= -1 and start_height < 20")
-    return heights.groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("twigs"), F.max("twig").alias("last_twig"))
+    """Twigs of each shard that a prune before block 20 drops, if all but the youngest twig have been emptied by compaction."""
+    log = shared(versions.genesis(spark).unionByName(event_log(spark, sf_dir)))
+    oldest = lifecycle.kept_entries(log).select("shard", K.twig_of(F.col("next_sn")).alias("oldest_active_twig"))
+    found = lifecycle.prune_ranges(log, 20, _per_shard(spark, "last_pruned_twig", -1), oldest, least=0)
+    return found.select(F.col("shard").cast("long").alias("shard"), F.col("start").alias("first_twig"), F.col("end").alias("end_twig"))
 
 
 # --- transfers ------------------------------------------------------------------------------------------------------
@@ -446,9 +446,9 @@ def tx_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.table(spark, sf_dir, "customer").select(key.alias("account"), hexed(transfers.address(key)).alias("address"), hexed(transfers.coin_id(key % 100)).alias("coin_id"))
 
 
-@query(None)
+@query(oracles.TX_INDEPENDENT)
 def tx_independent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy conflict-free transactions of each epoch (sequential by definition, so without SQL)."""
+    """Greedy conflict-free transactions of each epoch."""
     return transfers.independent_transactions(transfer_feed(spark, sf_dir))
 
 
@@ -468,6 +468,4 @@ def st_block_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     stream = stream_current_state(ops, f"{root}/state", f"{root}/progress")
     stream.awaitTermination()
-    batches = stream.lastProgress["batchId"] if stream.lastProgress else 0
-    newest = spark.read.parquet(f"{root}/state/batch={batches}") if batches >= 0 else None
-    return newest.where("op = 'S'").select("key", "value", "height", "seq")
+    return streamed_state(spark, f"{root}/state").where("op = 'S'").select("key", "value", "height", "seq")

@@ -30,11 +30,12 @@ def test_scans_exclude_their_end(spark):
 def test_neighbours_and_ranks_across_buckets(spark):
     keys = sorted({bytes([a, b]) for a in (0, 7, 7, 200, 255) for b in (1, 2, 90)})
     df = spark.createDataFrame([(bytearray(k),) for k in keys], "key binary")
-    after = {bytes(r["key"]): r["n"] and bytes(r["n"]) for r in ordered.with_next(df, "n").collect()}
-    assert after == dict(zip(keys, [*keys[1:], None], strict=True))
-    before = {bytes(r["key"]): r["n"] and bytes(r["n"]) for r in ordered.with_previous(df, "n").collect()}
-    assert before == dict(zip(keys, [None, *keys[:-1]], strict=True))
-    assert {bytes(r["key"]): r["n"] for r in ordered.with_rank(df, "n").collect()} == {k: i + 1 for i, k in enumerate(keys)}
+    for ranges in (None, 1, 5):
+        after = {bytes(r["key"]): r["n"] and bytes(r["n"]) for r in ordered.with_next(df, "n", ranges=ranges).collect()}
+        assert after == dict(zip(keys, [*keys[1:], None], strict=True))
+        before = {bytes(r["key"]): r["n"] and bytes(r["n"]) for r in ordered.with_previous(df, "n", ranges=ranges).collect()}
+        assert before == dict(zip(keys, [None, *keys[:-1]], strict=True))
+        assert {bytes(r["key"]): r["n"] for r in ordered.with_rank(df, "n", ranges=ranges).collect()} == {k: i + 1 for i, k in enumerate(keys)}
 
 
 def test_overlay_hides_and_replaces(spark):
@@ -52,8 +53,10 @@ def test_prune_ranges_need_more_than_the_least(spark):
     log = spark.createDataFrame([(0, 2048 * (t + 1) - 1, t) for t in range(8)], "shard int, sn long, block long")
     of = lambda name, v: spark.createDataFrame([(0, v)], f"shard int, {name} long")
     found = lambda h, oldest: [tuple(r) for r in lifecycle.prune_ranges(log, h, of("last_pruned_twig", -1), of("oldest_active_twig", oldest)).collect()]
-    assert found(5, 7) in ([], [(0, 0, 5)])
-    assert found(1, 7) == []
+    # twig t begins in block t - 1: the twigs 1 to 5 began below block 5
+    assert found(5, 7) == [(0, 0, 5)]
+    assert found(5, 4) == [(0, 0, 3)]
+    assert found(5, 3) == [] and found(1, 7) == []
 
 
 def test_empty_feed(spark):
