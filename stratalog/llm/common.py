@@ -34,7 +34,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bound_arrow_batches(spark: SparkSession, rows: int = 4000, megabytes: int = 48) -> None:
+def bound_arrow_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) -> None:
     """Bound what one Arrow batch brings into a Python worker, whatever the texts' lengths.
 
     The limits hold for the session, since Spark reads them when a plan runs. They are only ever lowered, so the order in
