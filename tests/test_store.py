@@ -19,9 +19,9 @@ def history(seed, blocks, names, writes, deletes):
     keys = sorted({bytes([r.choice([64, 90, 191]), r.randrange(4)]) + r.randbytes(5) + bytes([r.choice([0, 1, 2, 255])]) for _ in range(names)})
     out = []
     for h in range(blocks):
-        ops = {k: f"{h}:{k.hex()[:6]}".encode() for k in r.sample(keys, min(len(keys), writes))}
-        at = r.randrange(len(keys))
-        ops |= {k: None for k in keys[at : at + r.randint(deletes // 2, deletes)]}
+        ops = {k: f"{h}:{k.hex()[:6]}".encode() for k in (r.sample(keys, writes) if h else keys)}
+        at = r.randrange(len(keys) // 3)
+        ops |= {k: None for k in keys[at : at + r.randint(deletes // 2, deletes)] if h % 2}
         out.append(ops)
     return out
 
@@ -39,7 +39,7 @@ def log_rows(log):
 
 @pytest.mark.parametrize(("seed", "ranges"), [(1, 1), (2, 7), (3, 23)])
 def test_version_log_equals_the_model(spark, seed, ranges):
-    blocks = history(seed, 7, 300, 60, 200)
+    blocks = history(seed, 7, 400, 60, 250)
     model = Model()
     for h, ops in enumerate(blocks):
         model.commit(h, ops)
@@ -70,8 +70,8 @@ def test_store_compacts_prunes_and_recovers(spark, tmp_path):
     blocks += [{k: f"{h}".encode() for k in r.sample(names[:2000], 1300)} for h in (1, 2)]
     blocks += [{k: (None if h == 4 and j < 90 else f"{h}".encode()) for j, k in enumerate(names[h * 20 : h * 20 + 400])} for h in (3, 4, 5)]
     path = str(tmp_path / "store")
-    store = Store.create(spark, path, compact_at=100, min_kept=1)
-    model, past = Model(min_kept=1, compact_at=100), []
+    store = Store.create(spark, path, compact_at=100, compact_ratio=1, min_kept=1)
+    model, past = Model(min_kept=1, compact_at=100, ratio=1), []
     for h, ops in enumerate(blocks):
         store.commit_block(frame(spark, [ops]).drop("height"), h)
         model.commit(h, ops)
@@ -80,18 +80,18 @@ def test_store_compacts_prunes_and_recovers(spark, tmp_path):
     assert log_rows(store.log().where(~genesis)) == sorted([(*x[:8], list(x[8])) for x in model.log if x[0] >= 0], key=lambda x: (x[1], x[2]))
     meta = store.meta()
     assert (list(meta.next_sn), list(meta.oldest), meta.active) == (model.next_sn, model.oldest, len(model.live))
-    assert max(model.oldest) >= 3 and any(x[6] < x[0] and x[3] != b"dummy" for x in model.log)  # rows were appended again
+    assert max(model.oldest) >= 4 and any(x[6] < x[0] and x[3] != b"dummy" for x in model.log)  # rows were appended again
     assert store.recover().isEmpty() and store.check_tree().isEmpty()
     for h in (0, 3, 5):
         assert live(store, h) == past[h]
 
     pruned = store.prune_before(3)
-    assert max(pruned.pruned) >= 1 and pruned.edges is not None
+    assert max(pruned.pruned) >= 2 and pruned.edges is not None
     assert store.log().where("shard = 0").agg(F.min("sn")).first()[0] == (pruned.pruned[0] + 1) * 2048
     assert store.recover().isEmpty() and store.check_tree().isEmpty()
     assert live(store, 3) == {} and live(store, 4) == past[4] and live(store) == past[5]
     # a reopened store goes on as one that was never pruned
-    again, plain = Store(spark, path, compact_at=100, min_kept=1), {names[1]: b"x", names[2500]: None}
+    again, plain = Store(spark, path, compact_at=100, compact_ratio=1, min_kept=1), {names[1]: b"x", names[2500]: None}
     again.commit_block(frame(spark, [plain]).drop("height"), 6)
     model.commit(6, plain)
     assert again.recover().isEmpty() and again.check_tree().isEmpty()
