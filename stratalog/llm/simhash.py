@@ -27,7 +27,7 @@ from math import ceil, comb, log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gray
@@ -261,7 +261,7 @@ def near_links(distinct: DataFrame, *, lanes: int, max_diff: int, tables: list,
     late = first.where("kind = 1")
     if late.isEmpty():
         return links
-    members = late.groupBy("tbl", "key", *names).agg(F.lit(1).alias("weight")).withColumn("node", F.struct(*names))
+    members = late.select("tbl", "key", *names, F.lit(1).alias("weight"), F.struct(*names).alias("node"))
 
     def search(dealt: DataFrame) -> DataFrame:
         by = ["tbl", "key", "c0", "c1"]
@@ -285,8 +285,11 @@ def chunked_links(members: DataFrame, by: list[str], search: Callable[[DataFrame
     chunks = F.greatest(F.ceil(F.col("n") / F.lit(most)), F.ceil(F.col("w") / F.lit(heaviest))).cast("int")
     sizes = sizes.withColumn("chunks", F.greatest(chunks, F.lit(1))).withColumn("one_of", F.ceil(F.col("n") / F.lit(LEADERS)).cast("int"))
     large = checkpointed(sizes.where("chunks > 1").select(*by, "chunks", "one_of"))
-    placed = salted_join(members, large, by, F.col("node"), "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    placed = checkpointed(placed.withColumn("own", F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int")))
+    if large.isEmpty():
+        placed = members.withColumn("chunks", F.lit(1)).withColumn("one_of", F.lit(None).cast("int"))
+    else:
+        placed = salted_join(members, large, by, F.col("node"), "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int"))
     alone = F.array(F.col("own"))
     leads = F.coalesce(F.pmod(F.xxhash64("node", F.lit("leader")), F.col("one_of")) == 0, F.lit(False))
     everywhere = F.sequence(F.lit(0), F.col("chunks") - 1)
@@ -342,9 +345,23 @@ def near_duplicate_classes(
     ).select("id", "fp", "component_id")
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text."""
-    return np.unique(np.array(shingle_hashes((text or "").encode("utf-8", "surrogatepass").lower().split(), k), dtype=np.uint64))
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _vertex(words: list[bytes]) -> int:
+    """Number of a text in the candidate search (texts that share one by chance are but candidates)."""
+    return xxhash.xxh64_intdigest(b" ".join(words), 7) - (1 << 63)
+
+
+def shingle_set(words: list[bytes], k: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text's words."""
+    return np.unique(np.array(shingle_hashes(words, k), dtype=np.uint64))
+
+
+def text_digest(text: Column) -> Column:
+    """MD5 of a text (null counts as empty) as 16 bytes."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -400,7 +417,7 @@ def verified_classes(docs: DataFrame, *, words: int, lanes: int, max_diff: int,
     """
     bound_arrow_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
-    slim = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("text_key"), text.alias("t"))
+    slim = docs.select(F.col(id_col).alias("id"), text_digest(text).alias("text_key"), text.alias("t"))
     names = lane_names(lanes)
     kind = dict(slim.dtypes)["id"]
 
@@ -408,26 +425,22 @@ def verified_classes(docs: DataFrame, *, words: int, lanes: int, max_diff: int,
         for batch in batches:
             texts = batch.column(2).to_pylist()
             fp = fingerprints(texts, words, lanes).view(np.int64)
-            sets = [shingle_set(t, words) for t in texts]
-            nodes = [xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) for t in texts]
-            cols = [pa.array(nodes, pa.binary()), *(pa.array(fp[:, k]) for k in range(lanes))]
-            cols += [pa.array([band_keys(x).view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], names=["id", "text_key", "node", *names, "bands", "weight"])
+            split = [_words(t) for t in texts]
+            cols = [pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in split], pa.binary()), pa.array([_vertex(w) for w in split], pa.int64())]
+            cols += [*(pa.array(fp[:, k]) for k in range(lanes)), pa.array([max(1, len(w)) for w in split], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], names=["id", "text_key", "node", "v", *names, "weight"])
 
-    signed = f"id {kind}, text_key string, node binary, {', '.join(f'{n} long' for n in names)}, bands array<long>, weight long"
+    signed = f"id {kind}, text_key binary, node binary, v long, {', '.join(f'{n} long' for n in names)}, weight long"
     rows = checkpointed(slim.mapInArrow(sign, signed))
     own = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
-    nodes = checkpointed(
-        rows.groupBy("node").agg(F.min(own).alias("least"), *(F.first(n).alias(n) for n in names), F.first("bands").alias("bands"), F.first("weight").alias("weight"))
-        .withColumn("v", F.xxhash64("node"))
-    )
-    groups = _candidate_groups(nodes, lanes, max_diff, tables)
-    vertex = F.struct("least.none", "least.id", "least.text_key", F.col("node").alias("node"))
-    members = checkpointed(nodes.select(vertex.alias("node"), "weight", "v").join(groups, "v").select("grp", "node", "weight"))
+    nodes = checkpointed(rows.groupBy("node", "v", *names, "weight").agg(F.min(own).alias("least")))
+    groups = _candidate_groups(slim, nodes, words, lanes, max_diff, tables)
+    # a node stands under its least row, which no other node has; so a component is named by the row to keep
+    members = checkpointed(nodes.select(F.col("least").alias("node"), "weight", "v").join(groups, "v").select("grp", "node", "weight"))
     # one row a text that is in a group: equal ones are combined before the shuffle
-    wanted = sized(checkpointed(members.select("node.text_key").distinct()))
+    wanted = sized(checkpointed(members.select("node.text_key")))
     texts = slim.join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.first("t").alias("t"))
-    point = f"struct<none: boolean, id: {kind}, text_key: string, node: binary>"
+    point = f"struct<none: boolean, id: {kind}, text_key: binary>"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, sets, point_type = None, [], [], None
@@ -446,7 +459,7 @@ def verified_classes(docs: DataFrame, *, words: int, lanes: int, max_diff: int,
                         yield links()
                     at, held, sets = (g, c0, c1), [], []
                 held.append(node)
-                sets.append(shingle_set(t, words))
+                sets.append(shingle_set(_words(t), words))
         if len(held) > 1:
             yield links()
 
@@ -456,20 +469,21 @@ def verified_classes(docs: DataFrame, *, words: int, lanes: int, max_diff: int,
         return with_text.repartition(*by).sortWithinPartitions(*by, "node").mapInArrow(compare, f"a {point}, b {point}")
 
     _, classes = chunked_links(members, ["grp"], search, None, most=bucket, heaviest=CHUNK_SHINGLES)
-    # a component is named by its least vertex, which is the row to keep
-    first = F.col("component")
-    named = classes.select(F.col("node.node").alias("node"), F.struct(first["none"].alias("none"), first["id"].alias("id"), first["text_key"].alias("text_key")).alias("chosen"))
-    known = nodes.select("node", "least").join(named, "node", "left").select("node", F.coalesce("chosen", "least").alias("chosen"))
+    known = nodes.select("node", "least").join(classes.withColumnsRenamed({"node": "least", "component": "chosen"}), "least", "left")
+    known = known.select("node", F.coalesce("chosen", "least").alias("chosen"))
     kept = F.col("id").eqNullSafe(F.col("chosen.id")) & (F.col("text_key") == F.col("chosen.text_key"))
     return rows.select("id", "text_key", "node").join(known, "node").select("id", "text_key", F.col("chosen.id").alias("component_id"), kept.alias("kept"))
 
 
-def _candidate_groups(nodes: DataFrame, lanes: int, max_diff: int, tables: int) -> DataFrame:
-    """``(v, grp)`` of the nodes that share a fingerprint, a near fingerprint or a MinHash band with another one."""
-    names = lane_names(lanes)
+def key_links(keyed: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` from each vertex to the least vertex with the same key, for rows of ``(key long, v long)``.
+
+    Rows stream by in order of key, so no group is held; the least vertex leads, so groups of the same vertices give the same
+    links.
+    """
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # key and first vertex of the run that goes on; the least one, so runs of the same texts give the same links
+        held = None  # key and first vertex of the run that goes on
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -481,17 +495,37 @@ def _candidate_groups(nodes: DataFrame, lanes: int, max_diff: int, tables: int)
             yield pa.RecordBatch.from_arrays([pa.array(v[moved]), pa.array(v[first[moved]])], names=["a", "b"])
             held = key[-1], v[first[-1]]
 
+    return keyed.select("key", "v").repartition("key").sortWithinPartitions("key", "v").mapInArrow(runs, "a long, b long")
+
+
+def grouped(links: DataFrame) -> DataFrame:
+    """``(v, grp)`` of the vertices of links ``(a, b)`` from a vertex to leads of its groups (one a key at most).
+
+    All leads of a vertex are linked to the least of them, which leaves about one edge a vertex to contract.
+    """
+    ends = links.groupBy("a").agg(F.collect_set("b").alias("ends")).withColumn("top", F.array_min("ends"))
+    edges = ends.select("top", F.explode(F.concat(F.array("a"), "ends")).alias("b")).where("top != b")
+    return connected_components(edges, "top", "b").withColumnsRenamed({"node": "v", "component": "grp"})
+
+
+def _candidate_groups(slim: DataFrame, nodes: DataFrame, words: int, lanes: int, max_diff: int, tables: int) -> DataFrame:
+    """``(v, grp)`` of the nodes that share a fingerprint, a near fingerprint or a MinHash band with another one."""
+    names = lane_names(lanes)
+
+    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_words(t) for t in batch.column(0).to_pylist()]
+            keys = np.concatenate([band_keys(shingle_set(w, words)) for w in texts] or [np.empty(0, np.uint64)])
+            v = np.repeat(np.array([_vertex(w) for w in texts], np.int64), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(v)], names=["key", "v"])
+
     prints = checkpointed(nodes.groupBy(*names).agg(F.min("v").alias("lead")))
     same = nodes.join(prints, names).select(F.col("v").alias("a"), F.col("lead").alias("b")).where("a != b")
     picked = sampled_tables(lanes, tables, key_bytes(prints.count()))
     hits = near_links(prints, lanes=lanes, max_diff=max_diff, tables=picked, settle=False)
     named = prints.select(F.struct(*names).alias("fp"), "lead")
     tabled = hits.join(named.withColumnsRenamed({"fp": "a", "lead": "va"}), "a").join(named.withColumnsRenamed({"fp": "b", "lead": "vb"}), "b").select(F.col("va").alias("a"), F.col("vb").alias("b"))
-    banded = nodes.select(F.explode("bands").alias("key"), "v").repartition("key").sortWithinPartitions("key", "v").mapInArrow(runs, "a long, b long")
-    # a node has a link a band and table at most: all its ends are linked to the least of them, which leaves about one edge a node
-    ends = same.unionByName(tabled).unionByName(banded).groupBy("a").agg(F.collect_set("b").alias("ends")).withColumn("top", F.array_min("ends"))
-    edges = ends.select("top", F.explode(F.concat(F.array("a"), "ends")).alias("b")).where("top != b").distinct()
-    return connected_components(edges, "top", "b").withColumnsRenamed({"node": "v", "component": "grp"})
+    return grouped(same.unionByName(tabled).unionByName(key_links(slim.select("t").mapInArrow(band, "key long, v long"))))
 
 
 def drop_near_duplicates(docs: DataFrame, *, words: int = 5, lanes: int = 4, max_diff: int = 48, tables: int = 48, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -505,7 +539,7 @@ def drop_near_duplicates(docs: DataFrame, *, words: int = 5, lanes: int = 4, max
     classes = checkpointed(classes)
     key, text_key = fresh_name(docs, "near_id"), fresh_name(docs, "near_text")
     row = [F.col("id").alias(key), F.col("text_key").alias(text_key)]
-    own = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+    own = text_digest(F.col(text_col).cast("string"))
     gone = sized(checkpointed(classes.where("not kept").select(*row).distinct()))
     repeated = classes.where("kept").groupBy("id", "text_key").count().where("count > 1").select(*row)
     fits = lambda left: left[id_col].eqNullSafe(F.col(key)) & (own == F.col(text_key))
