@@ -113,15 +113,14 @@ def candidate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def ownership(rows: DataFrame) -> DataFrame:
-    """``(value_hash, owners, repositories)`` of every candidate; distinct pairs are combined before the shuffle."""
+    """``(value_hash, owners, repositories, spans)`` of every candidate; distinct pairs are combined before the shuffle."""
     owner = F.coalesce(F.substring_index("repository", "/", 1), F.lit(""))
     pairs = rows.select(F.explode("spans").alias("s"), F.coalesce("repository", F.lit("")).alias("repository"), owner.alias("owner"))
     return (
-        pairs.select(F.col("s.value_hash").alias("value_hash"), "repository", "owner")
-        .distinct()
+        pairs.groupBy(F.col("s.value_hash").alias("value_hash"), "repository", "owner").agg(F.count("*").alias("n"))
         .groupBy("value_hash")
-        .agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"))
-    )
+        .agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"), F.sum("n").alias("spans"))
+    )
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
@@ -131,11 +130,13 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     that a third of all rows hold is dealt over several tasks.
     """
     rows = checkpointed(candidate_spans(docs, id_col=id_col, text_col=text_col, source_col=source_col).withColumn("row", F.monotonically_increasing_id()))
-    counted = ownership(rows)
-    example = (F.col("owners") > max_owners) | (F.col("repositories") > max_repositories)
-    counted = counted.withColumn("verdict", F.when(example, F.lit("example")).otherwise(F.lit("live")))
+    # a value of one span has one owner: only the others are joined
+    counted = ownership(rows).where("spans > 1").drop("spans")
     held = rows.select("row", F.explode("spans").alias("s")).select("row", "s.*")
-    spans = salted_join(held, counted, ["value_hash"], F.col("row")).where((F.col("kind") != OWNED) | (F.col("verdict") == "live"))
+    known = salted_join(held, counted, ["value_hash"], F.col("row"), "left")
+    known = known.withColumn("owners", F.coalesce("owners", F.lit(1).cast("long"))).withColumn("repositories", F.coalesce("repositories", F.lit(1).cast("long")))
+    example = (F.col("owners") > max_owners) | (F.col("repositories") > max_repositories)
+    spans = known.withColumn("verdict", F.when(example, F.lit("example")).otherwise(F.lit("live"))).where((F.col("kind") != OWNED) | (F.col("verdict") == "live"))
     rank = F.array_position(F.array(*(F.lit(k) for k in (*KINDS, OWNED))), F.col("kind"))
     listed = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind", "verdict", "owners", "repositories"))).alias("found"))
     return rows.select("row", "id").join(listed, "row", "left").select("id", F.coalesce("found", F.array()).alias("spans"))
