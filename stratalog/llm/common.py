@@ -100,7 +100,6 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
             both.where(F.col("v") > F.col("u"))
             .join(least, "u")
             .select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-            .distinct()
         )
         roots = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(roots, "hi").where(F.col("lo") > F.col("m"))
