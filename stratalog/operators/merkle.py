@@ -106,6 +106,17 @@ def upper_nodes(trees: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     tops = trees.groupBy("shard").agg((F.length(F.bin(F.max("twig"))) + 12).alias("top"))
     nodes = trees.select("shard", F.lit(12).alias("level"), F.col("twig").alias("nth"), F.col("twig_root").alias("hash")).join(tops, "shard")
     highest = tops.agg(F.max("top")).first()[0] or 12
+
+    def with_edges(known: DataFrame, level: int) -> DataFrame:
+        """Computed nodes of a level, and given ones where none could be computed."""
+        if edges is None:
+            return known
+        given = edges.where(F.col("level") == level).join(tops, "shard").select("shard", "level", "nth", F.lit(None).cast("string").alias("hash"), "top", F.col("hash").alias("given"))
+        both = known.withColumn("given", F.lit(None).cast("string")).unionByName(given)
+        both = both.groupBy("shard", "level", "nth", "top").agg(F.coalesce(F.max("hash"), F.max("given")).alias("hash"))
+        return both.where("hash is not null").select("shard", "level", "nth", "hash", "top")
+
+    nodes = with_edges(nodes, 12)
     everything, below = nodes, nodes
     for level in range(FIRST_LEVEL_ABOVE_TWIG, highest + 1):
         null = (NULL_TWIG if level == FIRST_LEVEL_ABOVE_TWIG else NULL_UPPER[level]).hex()
@@ -116,21 +127,20 @@ def upper_nodes(trees: DataFrame, edges: DataFrame | None = None) -> DataFrame:
             .agg(side(0).alias("left"), F.coalesce(side(1), F.lit(null)).alias("right"))
             .select("shard", F.lit(level).alias("level"), F.col("up").alias("nth"), hash_pair(level - 1, F.col("left"), F.col("right")).alias("hash"), "top")
         )
-        if edges is not None:
-            given = edges.where(F.col("level") == level).join(tops, "shard").select("shard", "level", "nth", "hash", "top")
-            below = below.where("hash is not null")
-            below = below.unionByName(given.join(below.select("shard", "nth"), ["shard", "nth"], "left_anti"))
+        below = with_edges(below, level)
         everything = everything.unionByName(below)
     return everything
 
 
-def edge_nodes(nodes: DataFrame, ends: DataFrame) -> DataFrame:
+def edge_nodes(nodes: DataFrame, ends: DataFrame, sibling: bool = False) -> DataFrame:
     """``(shard, level, nth, hash)`` of the nodes to keep when the twigs before ``end`` of ``(shard, end)`` go.
 
     One node a level: the twig ``end`` itself, and above it the node at half of the one below, rounded down to a left child.
+    With ``sibling`` the twig before an odd ``end`` is kept too; without it that root has to come from the twig's own record.
     """
     nth = F.expr("shiftright(end, level - 12)")
-    wanted = nodes.join(ends, "shard").where(F.col("nth") == F.when(F.col("level") == 12, nth).otherwise(nth - nth % 2))
+    twig = (F.col("nth") == nth) | (F.lit(sibling) & (nth % 2 == 1) & (F.col("nth") == nth - 1))
+    wanted = nodes.join(ends, "shard").where(F.when(F.col("level") == 12, twig).otherwise(F.col("nth") == nth - nth % 2))
     return wanted.select("shard", "level", "nth", "hash")
 
 

@@ -90,6 +90,9 @@ def log_sql(feed: str) -> str:
     """CTEs up to ``lg(block, shard, sn, key, value, next_key, height, last_height, dummy, off)``; keys and values as hex, lists in ``off``."""
     source = {
         "events": f"{EVENTS}, {LW}, kd AS (SELECT *, sha256(key) AS d FROM lw), w0 AS (SELECT height AS block, {short('d')} AS key, op, lower(hex(value)) AS value FROM kd)",
+        "store": f"""so AS (SELECT sha256('order:' || o_orderkey) AS d, o_orderstatus AS st, o_orderpriority AS pr, o_orderkey AS k FROM orders), sk AS (SELECT {short('d')} AS key, st, pr, k FROM so),
+w0 AS (SELECT 0::BIGINT AS block, key, 'S' AS op, lower(hex(st || ':' || k)) AS value FROM sk UNION ALL SELECT 1, key, 'S', lower(hex('late:' || k)) FROM sk WHERE st = 'F'
+  UNION ALL SELECT 2, key, 'D', '' FROM sk WHERE st = 'P' UNION ALL SELECT 3, key, 'S', lower(hex('urgent:' || k)) FROM sk WHERE pr = '1-URGENT')""",
         "orders": f"{ORDERS}, w0 AS (SELECT 0::BIGINT AS block, key, 'S' AS op, lower(hex(value)) AS value FROM ok)",
     }[feed]
     return f"""WITH {source},
@@ -255,12 +258,31 @@ SELECT epoch, idx, status, CASE WHEN status = 'done' THEN fa - amt END AS from_a
        CASE WHEN status = 'done' THEN native - 10 END AS native_after, CASE WHEN status = 'done' THEN seq + 1 END AS seq_after FROM j"""
 
 
-def _coins(key: str) -> str:
+def _drawn(key: str) -> str:
     h = f"sha256('listofcoins' || ({key}))"
-    drawn = f"list_transform(range(1, 2 + ('0x' || substr({h}, 1, 2))::INT % 8), lambda i: 1 + ('0x' || substr({h}, (4 * i + 1)::INT, 4))::INT % 100)"
-    return f"list_sort(list_distinct({drawn}))"
+    return f"list_transform(range(1, 2 + ('0x' || substr({h}, 1, 2))::INT % 8), lambda i: ('0x' || substr({h}, (2 * i + 1)::INT, 2))::INT % 100)"
+
+
+def _coins(key: str) -> str:
+    return f"list_sort(list_distinct({_drawn(key)}))"
 
 
 TX_COINS = f"""WITH c AS (SELECT c_custkey AS account, {_coins('c_custkey')} AS l, {_coins('c_custkey + 1')} AS r FROM customer)
 SELECT account, array_to_string(list_sort(list_intersect(l, r)), ',') AS common, len(list_intersect(l, r)) > 0 AS overlaps FROM c"""
 TX_ADDRESS = "SELECT c_custkey AS account, substr(sha256('address' || c_custkey), 1, 40) AS address, substr(sha256('coin' || (c_custkey % 100)), 1, 16) AS coin_id FROM customer"
+ZERO_ACCOUNTS = f"""SELECT c_custkey AS account, substr(sha256('address' || c_custkey), 1, 40) || {le('c_custkey << 32', 8)} || repeat('0', 64)
+  || array_to_string(list_transform(list_sort(list_transform({_drawn('c_custkey')}, lambda k: substr(sha256('coin' || k), 1, 16))), lambda x: x || repeat('0', 64)), '') AS entry FROM customer"""
+ACCOUNTS_CHECK = "SELECT count(*)::BIGINT AS accounts, 0::BIGINT AS problems FROM customer"
+
+_PADDED = f"(8 + ((length({ENTRY}) // 2 + 7) // 8) * 8)"
+POSITIONS = log_sql("orders") + f", z AS (SELECT shard, sn, {_PADDED} AS size FROM lg) SELECT shard, sn, (sum(size) OVER w - size)::BIGINT AS pos, (sum(size) OVER w)::BIGINT AS next_pos FROM z WINDOW w AS (PARTITION BY shard ORDER BY sn)"
+_TOP = " || ".join(f"(SELECT string_agg(h, '' ORDER BY nth) FROM v{k} x WHERE x.shard = f.shard AND x.twig = f.twig)" for k in range(TWIG_SHIFT, 3, -1))
+TWIG_RECORDS = tree_sql("orders") + f""",
+pz AS (SELECT shard, sn, sum(8 + ((length(e) // 2 + 7) // 8) * 8) OVER (PARTITION BY shard ORDER BY sn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pos FROM allrows),
+f AS (SELECT a.shard::BIGINT AS shard, (a.sn >> {TWIG_SHIFT})::BIGINT AS twig, COALESCE(a.pos, 0)::BIGINT AS first_pos FROM pz a
+      WHERE a.sn % {TWIG_SIZE} = 0 AND (a.shard, a.sn + {TWIG_SIZE - 1}) IN (SELECT (shard, sn) FROM pz))
+SELECT f.shard, f.twig, f.first_pos, sha256(unhex({le('f.first_pos', 8)} || {_TOP} || (SELECT string_agg(h, '' ORDER BY nth) FROM v0 x WHERE x.shard = f.shard AND x.twig = f.twig))) AS record_sha256 FROM f"""
+STORE_ROOTS = root_sql("store") + " SELECT shard::BIGINT AS shard, root FROM root"
+STORE_STATE = log_sql("store") + " SELECT key, value, next_key, height, last_height FROM act WHERE active AND key NOT IN ('0000000000000000', 'ffffffffffffffff')"
+STORE_ASOF = log_sql("store") + """, up AS (SELECT key, arg_max(op, block) AS op, arg_max(value, block) AS value FROM w WHERE block BETWEEN 0 AND 2 GROUP BY key) SELECT key, value FROM up WHERE op = 'S'"""
+STORE_AUDIT = log_sql("store") + " SELECT count(*)::BIGINT AS live, 0::BIGINT AS bad_shards, 0::BIGINT AS bad_twigs, true AS compacted, true AS pruned FROM act WHERE active"

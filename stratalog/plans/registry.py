@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..engine import Store
 from ..functions import keys as K
 from ..lineage import checkpoint_root, shared
-from ..operators import lifecycle, merkle, ordered, overlay, proofs, rabbit, state, transfers, versions
+from ..operators import lifecycle, merkle, ordered, overlay, proofs, rabbit, state, transfers, twigfile, versions
 from ..sources import feeds
 from ..streaming.commit import stream_current_state, streamed_state
 from . import oracles
@@ -400,6 +401,78 @@ def mt_prune_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("shard").cast("long").alias("shard"), F.col("start").alias("first_twig"), F.col("end").alias("end_twig"))
 
 
+@query(oracles.POSITIONS)
+def mt_entry_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each row of the log stands in its shard's file."""
+    placed = twigfile.entry_positions(merkle.leaf_bytes(order_log(spark, sf_dir)))
+    return placed.select(F.col("shard").cast("long").alias("shard"), "sn", "pos", "next_pos")
+
+
+@query(oracles.TWIG_RECORDS)
+def mt_twig_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the full twigs: position of the first row, nodes and leaves."""
+    log = shared(full_order_log(spark, sf_dir))
+    positions = shared(twigfile.entry_positions(merkle.leaf_bytes(log)))
+    records = twigfile.twig_records(merkle.twigs(merkle.leaf_hashes(log)), positions)
+    digest = F.sha2(F.unhex(twigfile.record_hex(F.col("first_pos"), F.col("top"), F.col("leaves"))), 256)
+    return records.select(F.col("shard").cast("long").alias("shard"), "twig", "first_pos", digest.alias("record_sha256"))
+
+
+# --- store ----------------------------------------------------------------------------------------------------------
+
+_STORES: dict[tuple, Store] = {}
+
+
+def order_store(spark: SparkSession, sf_dir: str, compacting: bool) -> Store:
+    """A store with the four blocks of the orders, built once a session; ``compacting`` appends rows of old twigs again and
+    prunes what is older than block 2."""
+    name = spark.sparkContext.applicationId, sf_dir, compacting
+    if name not in _STORES:
+        options = {"compact_at": 1, "compact_ratio": 1, "min_kept": 1} if compacting else {}
+        store = Store.create(spark, f"{checkpoint_root(spark)}/store-{uuid.uuid4().hex}", bits=4, **options)
+        ops = feeds.to_engine(feeds.order_blocks(spark, sf_dir))
+        for height in range(4):
+            store.commit_block(ops.where(F.col("height") == height).drop("height"), height)
+        if compacting:
+            store.prune_before(1)
+        _STORES[name] = store
+    return _STORES[name]
+
+
+@query(oracles.STORE_ROOTS)
+def mt_store_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard roots that the store kept up block by block."""
+    roots = order_store(spark, sf_dir, False).meta().roots
+    return spark.createDataFrame([(k, r) for k, r in enumerate(roots)], "shard long, root string")
+
+
+@query(oracles.STORE_STATE)
+def kv_store_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live rows of the store after compaction and pruning, which change neither values nor heights."""
+    rows = order_store(spark, sf_dir, True).state()
+    return rows.select(hexed(F.col("key")).alias("key"), hexed(F.col("value")).alias("value"), hexed(F.col("next_key")).alias("next_key"), "height", "last_height")
+
+
+@query(oracles.STORE_ASOF)
+def kv_store_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State as of block 2, read from the log and the history of a pruned store."""
+    rows = order_store(spark, sf_dir, True).state(2)
+    return rows.select(hexed(F.col("key")).alias("key"), hexed(F.col("value")).alias("value"))
+
+
+@query(oracles.STORE_AUDIT)
+def mt_store_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compacted and pruned store against its own log: roots recomputed with the edge nodes, and every kept twig."""
+    store = order_store(spark, sf_dir, True)
+    meta = store.meta()
+    shards = store.recover().agg(F.count("*").alias("bad_shards"))
+    twigs = store.check_tree().agg(F.count("*").alias("bad_twigs"))
+    live = store.state(guards=True).agg(F.count("*").alias("live"))
+    one = live.join(shards, F.lit(True)).join(twigs, F.lit(True))  # one row each
+    again = store.log().where("not is_dummy and height < block").limit(1).count() > 0
+    return one.select("live", "bad_shards", "bad_twigs", F.lit(again or max(meta.oldest) > 0).alias("compacted"), F.lit(meta.prune_height == 1).alias("pruned"))
+
+
 # --- transfers ------------------------------------------------------------------------------------------------------
 
 
@@ -446,6 +519,21 @@ def tx_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.table(spark, sf_dir, "customer").select(key.alias("account"), hexed(transfers.address(key)).alias("address"), hexed(transfers.coin_id(key % 100)).alias("coin_id"))
 
 
+@query(oracles.ZERO_ACCOUNTS)
+def tx_zero_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Serialised accounts of all customers, without amounts."""
+    rows = transfers.accounts_of(feeds.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sn")), amounts=False)
+    return rows.select(F.col("sn").alias("account"), F.col("account").alias("entry"))
+
+
+@query(oracles.ACCOUNTS_CHECK)
+def tx_accounts_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts with amounts against those drawn anew without: addresses and kinds of coins agree."""
+    sns = feeds.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sn"))
+    wrong = transfers.compare_accounts(transfers.accounts_of(sns), transfers.accounts_of(sns, amounts=False)).agg(F.count("*").alias("problems"))
+    return sns.agg(F.count("*").alias("accounts")).join(wrong, F.lit(True))  # one row each
+
+
 @query(oracles.TX_INDEPENDENT)
 def tx_independent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy conflict-free transactions of each epoch."""

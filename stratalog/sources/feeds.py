@@ -51,6 +51,20 @@ def customer_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four blocks over the orders: all set, the finished ones set again, the pending ones deleted, the urgent ones set again."""
+    key, status, urgent = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority") == "1-URGENT"
+    step = lambda h, op, value: F.struct(F.lit(h).cast("long").alias("height"), F.lit(op).alias("op"), value.alias("value"))
+    steps = F.array(
+        step(0, "S", F.concat(status, F.lit(":"), key)),
+        F.when(status == "F", step(1, "S", F.concat(F.lit("late:"), key))),
+        F.when(status == "P", step(2, "D", F.lit(""))),
+        F.when(urgent, step(3, "S", F.concat(F.lit("urgent:"), key))),
+    )
+    rows = table(spark, sf_dir, "orders").select(key.alias("seq"), F.concat(F.lit("order:"), key).alias("key"), F.explode(F.array_compact(steps)).alias("x"))
+    return rows.select("x.height", "seq", "key", "x.op", "x.value")
+
+
 def engine_key(logical: Column) -> Column:
     """Eight-byte key under which the engine stores a logical key."""
     return short_key(logical)

@@ -85,6 +85,8 @@ def test_store_compacts_prunes_and_recovers(spark, tmp_path):
     for h in (0, 3, 5):
         assert live(store, h) == past[h]
 
+    assert store.prune_before(2).pruned[0] == 2  # up to an odd twig first
+    assert store.recover().isEmpty()
     pruned = store.prune_before(3)
     assert max(pruned.pruned) >= 2 and pruned.edges is not None
     assert store.log().where("shard = 0").agg(F.min("sn")).first()[0] == (pruned.pruned[0] + 1) * 2048
