@@ -99,3 +99,18 @@ def test_store_compacts_prunes_and_recovers(spark, tmp_path):
     assert again.recover().isEmpty() and again.check_tree().isEmpty()
     assert live(again) == {k: v[0] for k, v in model.live.items() if k not in (START_GUARD, END_GUARD)} and live(again, 5) == past[5]
     assert list(again.meta().next_sn) == model.next_sn
+
+
+def test_compaction_moves_rows_of_its_own_block(spark, tmp_path):
+    """The oldest twig is filled up by the block that compacts it."""
+    r = random.Random(4)
+    names = [bytes([64 + k % 128, k // 128]) + r.randbytes(5) + bytes([k % 2]) for k in range(1500)]
+    blocks = [{k: b"0" for k in names}, {k: b"1" for k in names[:700]} | {k: None for k in names[1400:]}]
+    store, model = Store.create(spark, str(tmp_path / "store"), bits=4, compact_at=100, compact_ratio=1, min_kept=1), Model(min_kept=1, compact_at=100, ratio=1)
+    for h, ops in enumerate(blocks):
+        store.commit_block(frame(spark, [ops]).drop("height"), h)
+        model.commit(h, ops)
+    assert log_rows(store.log().where("block >= 0")) == sorted([(*x[:8], list(x[8])) for x in model.log if x[0] >= 0], key=lambda x: (x[1], x[2]))
+    assert any(x[0] == 1 and x[6] == 1 and x[2] >= 4096 and x[3] in names[:700] for x in model.log)
+    assert store.recover().isEmpty() and store.check_tree().isEmpty()
+    assert live(store) == {k: v[0] for k, v in model.live.items() if k not in (START_GUARD, END_GUARD)}
