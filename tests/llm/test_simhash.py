@@ -171,3 +171,23 @@ def test_parts_of_a_large_group_are_told_apart(spark):
     got = {bytes(x["node"]): bytes(x["component"]) for x in classes.collect()}
     want = {n: min(m for m, d in nodes if d == c) for n, c in nodes}
     assert {n: got.get(n, n) for n, _ in nodes} == want
+
+
+def test_components_leave_few_shuffles_behind(spark):
+    """Files of rounds that are over are released while the search goes on, not whenever the driver collects garbage."""
+    import time
+
+    from stratalog.llm.common import connected_components, release
+
+    release(spark)
+    time.sleep(2)
+    held = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    before = held()
+    edges = spark.range(3000).selectExpr("id AS a", "id + 1 AS b")
+    found = connected_components(edges, "a", "b")
+    for _ in range(20):
+        if held() - before <= 6:
+            break
+        time.sleep(0.1)
+    assert held() - before <= 6
+    assert found.select("component").distinct().count() == 1 and found.count() == 3001
