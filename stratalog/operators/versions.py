@@ -31,6 +31,9 @@ FLUSH_AT = 65
 
 LOG = "block long, shard int, sn long, key binary, value binary, next_key binary, height long, last_height long, is_dummy boolean, deactivated array<bigint>"
 
+#: Operations that a key range holds about (a range is walked by one Python worker, which holds them all).
+RANGE_ROWS = 50_000
+
 #: Rows of a sweep: kind 0 is a change of ``key`` (``wrote`` is S, D, or T where only the successor changed; ``next_key`` is
 #: null where the successor lies beyond the range), kind 1 the range's first and last live key (``low``, ``key``) after a block.
 SWEPT = "kind int, range int, block long, key binary, wrote string, value binary, existed boolean, next_key binary, low binary"
@@ -161,7 +164,8 @@ def key_changes(ops: DataFrame, ranges: int | None = None) -> DataFrame:
     spark = ops.sparkSession
     guards = spark.createDataFrame([(-1, bytearray(k), "S", bytearray()) for k in (START_GUARD, END_GUARD)], "height long, key binary, op string, value binary")
     written = shared(last_writer(ops).select("height", "key", "op", "value").unionByName(guards).select(F.col("height").alias("block"), "key", "op", "value"))
-    dealt = written.repartitionByRange(ranges, "key") if ranges else written.repartitionByRange("key")
+    # as many ranges as the rows ask for: what a worker holds does not grow with the feed, and adaptive execution does not put ranges together
+    dealt = written.repartitionByRange(ranges or -(-written.count() // RANGE_ROWS), "key")
     swept = shared(dealt.sortWithinPartitions("block", "key").mapInArrow(sweep, SWEPT))
     edges = swept.where("kind = 1").select("block", "range", "low", F.col("key").alias("high"))
     links = edges.repartition(1).sortWithinPartitions("block", "range").mapInArrow(spine, "block long, key binary, next_key binary")
@@ -192,7 +196,7 @@ def version_log(ops: DataFrame, *, base_sn: int = TWIG_SIZE, ranges: int | None
     """Log rows of engine operations ``(height, seq, key, op, value)``, guards included.
 
     ``base_sn`` is the first serial number of each shard: 2048 after the genesis rows, 0 without them. ``ranges`` is the
-    number of key ranges (the session's shuffle partitions if not given).
+    number of key ranges (one for each :data:`RANGE_ROWS` operations if not given).
     """
     changed = shared(key_changes(ops, ranges).withColumn("shard", shard_id(F.col("key"))))
     rows = shared(number_rows(expand_steps(changed), F.lit(base_sn)))

@@ -142,3 +142,15 @@ def test_filler_rows_after_many_deletions(spark):
     log = versions.version_log(spark.createDataFrame(ops, "height long, seq long, key binary, op string, value binary"), base_sn=0)
     fillers = log.where("is_dummy and block = 1").orderBy("sn").collect()
     assert [(r["shard"], len(r["deactivated"]), r["deactivated"][-1] == r["sn"]) for r in fillers if r["shard"] == 1] == [(1, 66, True), (1, 6, True)]
+
+
+def test_ranges_of_a_log_follow_the_number_of_operations(spark, monkeypatch):
+    """What one worker of the sweep holds is bounded, and the log does not depend on the ranges."""
+    monkeypatch.setattr(versions, "RANGE_ROWS", 100, raising=False)
+    ops = spark.range(3000).select(
+        (F.col("id") % 2).alias("height"), F.col("id").alias("seq"), keys.short_key((F.col("id") % 2000).cast("string")).alias("key"), F.lit("S").alias("op"), F.lit("v").cast("binary").alias("value")
+    )
+    held = [r["n"] for r in versions.key_changes(ops).groupBy("range").agg(F.count("*").alias("n")).collect()]
+    assert len(held) > 20 and max(held) < 600
+    rows = lambda log: sorted(map(repr, log.collect()))
+    assert rows(versions.version_log(ops)) == rows(versions.version_log(ops, ranges=1))
