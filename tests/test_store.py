@@ -7,7 +7,7 @@ from model import Model
 from pyspark.sql import functions as F
 
 from stratalog.engine import Store
-from stratalog.functions.keys import END_GUARD, START_GUARD
+from stratalog.functions.keys import END_GUARD, START_GUARD, short_key
 from stratalog.operators import versions
 
 OPS = "height long, seq long, key binary, op string, value binary"
@@ -114,3 +114,24 @@ def test_compaction_moves_rows_of_its_own_block(spark, tmp_path):
     assert any(x[0] == 1 and x[6] == 1 and x[2] >= 4096 and x[3] in names[:700] for x in model.log)
     assert store.recover().isEmpty() and store.check_tree().isEmpty()
     assert live(store) == {k: v[0] for k, v in model.live.items() if k not in (START_GUARD, END_GUARD)}
+
+
+def test_ranges_and_files_of_a_block_do_not_follow_its_buckets(spark, tmp_path, monkeypatch):
+    """A store of two buckets sorts and writes its rows in many parts, with the same roots and links."""
+    from pathlib import Path
+
+    from stratalog import engine
+
+    ops = spark.range(400).select(F.col("id").alias("seq"), short_key(F.col("id").cast("string")).alias("key"), F.lit("S").alias("op"), F.lit("v").cast("binary").alias("value"))
+    seen = []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for name, rows in (("one", 1 << 40), ("many", 25)):
+        monkeypatch.setattr(engine, "RANGE_ROWS", rows, raising=False)
+        monkeypatch.setattr(engine, "FILE_ROWS", rows, raising=False)
+        store = engine.Store.create(spark, str(tmp_path / name), bits=1)
+        store.commit_block(ops.where("seq < 300"), 0)
+        meta = store.commit_block(ops.where("seq >= 280"), 1)
+        seen.append((meta.roots, meta.next_sn, meta.active, meta.buckets, sorted(map(repr, store.state().collect()))))
+        files = [len(list(b.glob("*.parquet"))) for b in Path(tmp_path / name / "state" / "block=1").glob("bucket=*")]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert seen[0] == seen[1] and min(files) > 1
