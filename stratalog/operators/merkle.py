@@ -1,11 +1,15 @@
 """Merkle trees over the log: twigs of 2048 rows, shard roots and the root of all shards.
 
 A twig's rows meet once, by (shard, twig); its eleven levels and the three levels over its bitmap of active rows are then a
-projection. Levels above twigs are one small aggregation each.
+projection. Levels above twigs are computed shard by shard, in one pass.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +18,9 @@ from ..functions.keys import SHARDS, TWIG_SHIFT, TWIG_SIZE, leaf_of, little_endi
 from ..functions.nulltree import FIRST_LEVEL_ABOVE_TWIG, NULL_BITS, NULL_LEAF, NULL_TWIG, NULL_UPPER
 from .versions import with_active
 
+#: Types of the rows that :func:`upper_nodes` gives.
+_UPPER = (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32())
+
 
 def leaf_bytes(log: DataFrame) -> DataFrame:
     """Add ``entry`` (hex of the canonical bytes)."""
@@ -96,40 +103,57 @@ def inactive_twig_root(left_root: Column) -> Column:
     return hash_pair(11, left_root, F.lit(NULL_BITS[-1].hex()))
 
 
+def _upper(twigs: dict[int, str], given: dict[tuple[int, int], str]) -> Iterator[tuple[int, int, str | None, int]]:
+    """``(level, nth, hash, top)`` of one shard's nodes (see :func:`upper_nodes`)."""
+    top = max(twigs).bit_length() + 12 if max(twigs) else 13
+    known = dict(twigs)
+    for level in range(FIRST_LEVEL_ABOVE_TWIG - 1, top + 1):
+        if level >= FIRST_LEVEL_ABOVE_TWIG:
+            null = (NULL_TWIG if level == FIRST_LEVEL_ABOVE_TWIG else NULL_UPPER[level]).hex()
+            byte, below, known = bytes([level - 1]), known, {}
+            for nth in {n >> 1 for n in below}:
+                left, right = below.get(2 * nth), below.get(2 * nth + 1) or null
+                known[nth] = None if left is None else sha256(byte + bytes.fromhex(left) + bytes.fromhex(right)).hexdigest()
+        for (at, nth), node in given.items():
+            if at == level and known.get(nth) is None:
+                known[nth] = node
+        if given:
+            known = {nth: node for nth, node in known.items() if node is not None}
+        for nth, node in known.items():
+            yield level, nth, node, top
+
+
 def upper_nodes(trees: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """``(shard, level, nth, hash, top)`` from the twigs (level 12) to each shard's root, the node 0 of level ``top``.
 
     A missing right sibling above level 13 counts as the empty subtree of its parent's level, as the format has it. Where
     twigs were pruned, ``edges`` of ``(shard, level, nth, hash)`` hold the nodes that their parents are computed from; nodes
-    left of them are not given.
+    left of them are not given. A shard's twigs (one row in 2,048 of the log) meet in one task.
     """
-    tops = trees.groupBy("shard").agg((F.length(F.bin(F.max("twig"))) + 12).alias("top"))
-    nodes = trees.select("shard", F.lit(12).alias("level"), F.col("twig").alias("nth"), F.col("twig_root").alias("hash")).join(tops, "shard")
-    highest = tops.agg(F.max("top")).first()[0] or 12
-
-    def with_edges(known: DataFrame, level: int) -> DataFrame:
-        """Computed nodes of a level, and given ones where none could be computed."""
-        if edges is None:
-            return known
-        given = edges.where(F.col("level") == level).join(tops, "shard").select("shard", "level", "nth", F.lit(None).cast("string").alias("hash"), "top", F.col("hash").alias("given"))
-        both = known.withColumn("given", F.lit(None).cast("string")).unionByName(given)
-        both = both.groupBy("shard", "level", "nth", "top").agg(F.coalesce(F.max("hash"), F.max("given")).alias("hash"))
-        return both.where("hash is not null").select("shard", "level", "nth", "hash", "top")
-
-    nodes = with_edges(nodes, 12)
-    everything, below = nodes, nodes
-    for level in range(FIRST_LEVEL_ABOVE_TWIG, highest + 1):
-        null = (NULL_TWIG if level == FIRST_LEVEL_ABOVE_TWIG else NULL_UPPER[level]).hex()
-        side = lambda odd: F.max(F.when(F.col("nth") % 2 == odd, F.col("hash")))
-        below = (
-            below.where(F.col("top") >= level)
-            .groupBy("shard", "top", F.shiftright("nth", 1).alias("up"))
-            .agg(side(0).alias("left"), F.coalesce(side(1), F.lit(null)).alias("right"))
-            .select("shard", F.lit(level).alias("level"), F.col("up").alias("nth"), hash_pair(level - 1, F.col("left"), F.col("right")).alias("hash"), "top")
-        )
-        below = with_edges(below, level)
-        everything = everything.unionByName(below)
-    return everything
+    rows = trees.select("shard", F.lit(False).alias("edge"), F.lit(12).alias("level"), F.col("twig").alias("nth"), F.col("twig_root").alias("hash"))
+    if edges is not None:
+        rows = rows.unionByName(edges.select("shard", F.lit(True).alias("edge"), "level", "nth", "hash"))
+
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            found = [(shard, *node) for node in _upper(twigs, given)] if twigs else []
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(_UPPER)], names=["shard", "level", "nth", "hash", "top"])
+
+        shard, twigs, given = None, {}, {}
+        for batch in batches:
+            for number, edge, level, nth, node in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if number != shard:
+                    if shard is not None:
+                        yield out()
+                    shard, twigs, given = number, {}, {}
+                if edge:
+                    given[level, nth] = node
+                else:
+                    twigs[nth] = node
+        if shard is not None:
+            yield out()
+
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(climb, "shard int, level int, nth long, hash string, top int")
 
 
 def edge_nodes(nodes: DataFrame, ends: DataFrame, sibling: bool = False) -> DataFrame:
